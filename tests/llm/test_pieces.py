@@ -1,0 +1,98 @@
+import random
+
+import numpy as np
+import pytest
+
+from tribune.llm import pieces
+from tribune.llm.queries import PIECES
+
+TEXTS = ["", " ", "Hello world", "  two  spaces ", "Ça va\nbien?\t日本語 \U0001f600", "x" * 5000, "a▁b", "Élan the of 12345 !!", "\x00 nul"]
+
+
+def wire(number, kind, value):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    return varint(number << 3 | kind) + (varint(value) if kind == 0 else varint(len(value)) + value)
+
+
+def brute(codec, part):
+    """Best sums of scores by trying every piece at every place."""
+    table = {p: (s, k) for k, (p, s, kind) in enumerate(zip(codec.model.pieces, codec.model.scores, codec.model.kinds)) if kind == pieces.NORMAL}
+    best = [0.0] + [-np.inf] * len(part)
+    for end in range(1, len(part) + 1):
+        for start in range(max(0, end - 20), end):
+            if part[start:end] in table:
+                best[end] = max(best[end], best[start] + table[part[start:end]][0])
+        best[end] = max(best[end], best[end - 1] + codec.unknown_score)
+    return best[-1]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return pieces.Codec(pieces.read_model(PIECES))
+
+
+def test_best_sum_and_round_trip(codec):
+    rng = random.Random(3)
+    parts = ["▁" + "".join(rng.choice("theandionerst èéü.,#") for _ in range(rng.randrange(1, 15))) for _ in range(300)]
+    for part in parts:
+        ids = codec.segment(part)
+        got = sum(codec.model.scores[i] for i in ids if codec.model.kinds[i] == pieces.NORMAL)
+        unknown = sum(codec.model.kinds[i] == pieces.BYTE for i in ids)
+        if not unknown:
+            assert got == pytest.approx(brute(codec, part))
+    texts = TEXTS + parts
+    ids, sizes = codec.encode(texts)
+    assert codec.decode(ids, sizes) == [codec.normalise(t) for t in texts]
+
+
+def test_words_do_not_change_the_best_segmentation(codec):
+    for text in TEXTS + ["a  b   c", " lead", "trail  "]:
+        whole = codec.normalise(text).replace(" ", "▁")
+        whole = "▁" + whole if whole else whole
+        assert "".join(codec.words(codec.normalise(text))) == whole
+        one = sum(len(codec.segment(p)) and sum(codec.model.scores[i] for i in codec.segment(p)) for p in codec.words(codec.normalise(text)))
+        assert one == pytest.approx(sum(codec.model.scores[i] for i in codec.segment(whole)))
+
+
+def test_same_as_library_in_unigram_mode():
+    import sentencepiece
+
+    data = pieces.read_model(PIECES)
+    out = b""
+    for number, value in pieces._fields(data):
+        if number == 1:
+            parts = dict(pieces._fields(value))
+            score = max(-40000.0, np.frombuffer(parts[2], "<f4")[0])  # sums stay exact in the library's floats
+            out += wire(1, 2, wire(1, 2, parts[1]) + bytes([2 << 3 | 5]) + np.float32(score).tobytes() + (wire(3, 0, parts[3]) if 3 in parts else b""))
+        elif number == 2:
+            spec = b"".join(wire(n, 0, v) if isinstance(v, int) else (bytes([n << 3 | 5]) + v if n in (10, 15) or len(v) == 4 and n == 51 else wire(n, 2, v)) for n, v in pieces._fields(value) if n not in (3, 51))
+            out += wire(2, 2, spec + wire(3, 0, 1))
+        else:
+            out += wire(number, 2, value)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=out), pieces.Codec(out)
+    rng = random.Random(5)
+    texts = ["Hello world this is", "Nicht aulich für sch", "Et treêaux treleai pourenêaire"] + ["".join(rng.choice("theandionerstlr e ") for _ in range(40)) for _ in range(200)]
+    ids, sizes = own.encode(texts)
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, ends - sizes, ends):
+        assert ids[a:b].tolist() == library.encode(text), text
+        assert own.decode(ids[a:b], np.array([b - a])) == [library.decode(ids[a:b].tolist())]
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*TEXTS, None, "same", "same"])], "doc_id long, text string, ids string")
+    model = pieces.read_model(PIECES)
+    rows = pieces.encode(df, model, check=True)
+    back = {r.doc_id: r for r in pieces.decode(rows, model).collect()}
+    for k, t in enumerate(TEXTS):
+        assert back[k].round_trip and back[k].decoded == t.replace("▁", " ") and back[k].n_tokens == len(back[k].ids)
+    null = back[len(TEXTS)]
+    assert null.ids is None and null.decoded is None and null.n_tokens is None
+    assert back[len(TEXTS) + 1].ids == back[len(TEXTS) + 2].ids
+    assert pieces.encode(df.limit(0), model).count() == 0

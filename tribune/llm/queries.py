@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, pieces, quality
+
+#: Vocabulary of a public tokenizer, not part of this repository.
+PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, pieces.read_model(PIECES), check=True)
+    return encoded.select("doc_id", "ids", "n_tokens", "round_trip")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -49,6 +60,7 @@ SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEG
 """
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_poisson_mixing": op10_poisson_mixing,
 }

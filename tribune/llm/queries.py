@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality
+from . import exact_dedup, mixing, pieces, quality
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -23,6 +23,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "n_tokens", "round_trip")
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents),
+g AS (
+  SELECT doc_id, norm,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY norm) AS group_size
+  FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -61,9 +79,11 @@ SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEG
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 ORACLES = {
+    "op6_exact_dedup": OP6_SQL,
     "op10_poisson_mixing": OP10_SQL,
 }

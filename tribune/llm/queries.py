@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, quality
+from . import exact_dedup, mixing, ngram_join, pieces, quality
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -23,6 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "n_tokens", "round_trip")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -79,6 +83,7 @@ SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEG
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_poisson_mixing": op10_poisson_mixing,

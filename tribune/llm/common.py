@@ -175,3 +175,24 @@ def text_chunks(texts: Iterable[str | None], words: int = 20_000) -> Iterator[li
             held, n = [], 0
     if held:
         yield held
+
+
+def across(block: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs a cell of deal_blocks answers for: all within a cell of one block, else those between its two blocks."""
+    return (i[a] == j[a]) | (block[a] != block[b])
+
+
+def stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest (x, y) of the links (a, b), indices into ids."""
+    root = forest(len(ids), a, b)
+    (leaf,) = np.nonzero(root != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], names=["x", "y"])
+
+
+def link_counts(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """For each linked row x: y, the root of its tree in a spanning forest, and how many rows it links to, copies included."""
+    n = len(ids)
+    links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+    root = forest(n, a, b)
+    (some,) = np.nonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(links[some].astype(np.int64))], names=["x", "y", "links"])

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, deal_blocks, forest, mix, pairs_within, text_chunks, whole_groups
-from .components import components
+from .common import Words, across, cut, deal_blocks, link_counts, mix, pairs_within, stars, text_chunks, whole_groups
+from .components import components, grouped
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -148,23 +148,16 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles int, n_chars int, set_digest binary, sketch binary, bands array<long>")
 
 
-def _across(block: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs a cell answers for: all within a cell of one block, else those between its two blocks."""
-    return (i[a] == j[a]) | (block[a] != block[b])
-
-
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     steps = least_equal()
     for table, offsets in whole_groups(batches, ["band", "cell_i", "cell_j"]):
         ids, block, i, j = (table.column(c).to_numpy() for c in ("doc_id", "block", "cell_i", "cell_j"))
         signs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
         for a, b in pairs_within(offsets):
-            here = _across(block, i, j, a, b)
+            here = across(block, i, j, a, b)
             a, b = survivors(signs, a[here], b[here], steps)
             if len(a):
-                root = forest(len(ids), a, b)
-                (leaf,) = np.nonzero(root != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], names=["x", "y"])
+                yield stars(ids, a, b)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +187,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found_a.append(np.full(len(near), k))
                 found_b.append(near)
             a, b = np.concatenate(found_a), np.concatenate(found_b)
-            here = _across(block[lo:hi], i[lo:hi], j[lo:hi], a, b)
-            a, b = a[here], b[here]
-            if len(a):
-                weight = copies[lo:hi]
-                links = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
-                root = forest(n, a, b)
-                own = ids[lo:hi]
-                (some,) = np.nonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[root[some]]), pa.array(links[some].astype(np.int64))], names=["x", "y", "links"])
+            here = across(block[lo:hi], i[lo:hi], j[lo:hi], a, b)
+            if here.any():
+                yield link_counts(ids[lo:hi], copies[lo:hi], a[here], b[here])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,10 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .mapInArrow(_verify, "x long, y long, links long"),
         "verified",
     )
-    links = verified.groupBy("x").agg(F.sum("links").alias("links"))
-    groups = components(verified.select("x", "y"))
-    found = members.select("doc_id", "class_id", "n_copies").join(links, F.col("class_id") == F.col("x"), "left").join(groups, F.col("class_id") == F.col("node"), "left")
-    linked = found.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    linked = grouped(members.select(F.col("doc_id").alias("id"), "class_id", "n_copies"), verified).withColumnRenamed("id", "doc_id")
     alone = sketches.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("group_id"))
 

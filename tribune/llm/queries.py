@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, pieces, quality
+from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -27,6 +27,28 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "n_links", F.col("group_id").alias("component_id"), "kept"
+    )
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links,
+       (SELECT min(y) FROM reach WHERE x = e.vec_id) AS component_id,
+       (SELECT min(y) FROM reach WHERE x = e.vec_id) = e.vec_id AS kept
+FROM embeddings e
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -84,11 +106,13 @@ SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEG
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_embedding_lattice": op4_embedding_lattice,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 ORACLES = {
+    "op4_embedding_lattice": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_poisson_mixing": OP10_SQL,
 }

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality
+from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality, url_filter
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -27,6 +27,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge(pages, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
         "vec_id", "n_links", F.col("group_id").alias("component_id"), "kept"
@@ -106,6 +111,7 @@ SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEG
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_url_filter": op3_url_filter,
     "op4_embedding_lattice": op4_embedding_lattice,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,

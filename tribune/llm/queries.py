@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality, url_filter
+from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality, url_filter, warc
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -81,6 +81,22 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, folder = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(archives, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.TARGETS)
 
@@ -115,10 +131,12 @@ QUERIES = {
     "op4_embedding_lattice": op4_embedding_lattice,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 ORACLES = {
     "op4_embedding_lattice": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op9_warc": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
 }

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality, url_filter, warc
+from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality, quotes, url_filter, warc
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -54,6 +54,10 @@ FROM embeddings e
 """
 
 
+def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -129,6 +133,7 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filter": op3_url_filter,
     "op4_embedding_lattice": op4_embedding_lattice,
+    "op5_chat_quotes": op5_chat_quotes,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,

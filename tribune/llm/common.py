@@ -125,6 +125,11 @@ def pairs_within(offsets: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[n
         lo = hi
 
 
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits 64-bit values differ (bitwise_count takes the absolute value of signed ones, so as unsigned)."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest row index that each of n rows reaches over the links (a, b)."""
     root = np.arange(n)

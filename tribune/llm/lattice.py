@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import across, cut, deal_blocks, link_counts, mix, pairs_within, stars, whole_groups
+from .common import across, cut, deal_blocks, differing_bits, link_counts, mix, pairs_within, stars, whole_groups
 from .components import components, grouped
 
 THRESHOLD = 0.9
@@ -137,7 +137,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in pairs_within(offsets):
             here = (own[a] | own[b]) & across(block, i, j, a, b)
             a, b = a[here], b[here]
-            near = np.bitwise_count(s0[a] ^ s0[b]) + np.bitwise_count(s1[a] ^ s1[b]) <= MOST_DIFFERENT
+            near = differing_bits(s0[a], s0[b]) + differing_bits(s1[a], s1[b]) <= MOST_DIFFERENT
             if near.any():
                 yield stars(ids, a[near], b[near])
 

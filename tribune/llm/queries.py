@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, mixing, ngram_join, pieces, quality, quotes, url_filter, warc
+from . import exact_dedup, lattice, line_dedup, mixing, ngram_join, pieces, quality, quotes, url_filter, warc
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -76,6 +76,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -135,6 +139,7 @@ QUERIES = {
     "op4_embedding_lattice": op4_embedding_lattice,
     "op5_chat_quotes": op5_chat_quotes,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_poisson_mixing": op10_poisson_mixing,

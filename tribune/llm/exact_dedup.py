@@ -28,8 +28,11 @@ from .common import cut, scratch
 #: Up to so many dropped rows (16 bytes each) their keys are broadcast to filter the documents; beyond, a shuffle joins them.
 BROADCAST_ROWS = 2_000_000
 _BLANKS = " \t\n\x0b\x0c\r"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a store is closed when its task has committed, so an executor keeps open (and on its own disk) only those at work.
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -67,13 +70,15 @@ def absorb(spark: SparkSession, landing: str, state: str) -> DataFrame:
         # a batch that is run again after a failure writes the same folder again
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k) for k in _STATE_CONF}
+    for k, v in _STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = groups.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     changed = spark.read.option("basePath", log).parquet(f"{log}/batch=*")
     last = changed.groupBy("digest").agg(F.max_by(F.struct("stays", "group_size"), "batch").alias("last"))
     return last.select("digest", F.col("last.stays.doc_id").alias("keep_id"), F.col("last.stays.locator").alias("keep_locator"), F.col("last.group_size").alias("group_size"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.dates import day
 from ..schemas import FACTION_HISTORY, SPEECH_LINES
@@ -13,7 +12,7 @@ from ..schemas import FACTION_HISTORY, SPEECH_LINES
 
 def read_speeches(spark: SparkSession, path: str, strict: bool = False, year: int | None = None) -> DataFrame:
     """Lines of the *.jsonl files (or year=... folders) under path. strict fails at a line that is not JSON; else it is kept in _corrupt_record."""
-    schema = SPEECH_LINES if strict else StructType([*SPEECH_LINES.fields, StructField("_corrupt_record", StringType())])
+    schema = SPEECH_LINES if strict else f"{SPEECH_LINES}, _corrupt_record string"
     reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("recursiveFileLookup", "false")
     if year is not None:
         return reader.json(f"{path}/year={year}")
@@ -26,7 +25,7 @@ def write_speeches(speeches: DataFrame, path: str) -> None:
     rows.repartition("year", F.pmod(F.xxhash64("source_file"), F.lit(8))).write.mode("append").partitionBy("year").json(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON at path; an empty table where there is nothing."""
     try:
         return spark.read.schema(schema).json(path)
@@ -46,7 +45,7 @@ def write_history(history: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The uids that are processed."""
-    return read_or_empty(spark, path, StructType([StructField("uid", StringType())]))
+    return read_or_empty(spark, path, "uid string")
 
 
 def append_ledger(uids: DataFrame, path: str) -> None:

@@ -84,14 +84,18 @@ def mix_sources(docs: DataFrame, targets: dict[str, float], seed: str = SEED, si
     )
     table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
+
+    def below(acc: Column, c: Column) -> Column:
+        # the document's number is the start value, not a column named inside: a filter put on the result is then pushed down rightly
+        return F.struct(acc["u"].alias("u"), (acc["n"] + F.when(c < acc["u"], 1).otherwise(0)).alias("n"))
+
     return (
         docs.join(table, docs["source"].eqNullSafe(table["_mix_source"]))
-        .withColumn("_mix_u", u)
-        .withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c < F.col("_mix_u"))))
+        .withColumn("_mix_n", F.aggregate("_mix_cdf", F.struct(u.alias("u"), F.lit(0).alias("n")), below, lambda acc: acc["n"]))
         .where("_mix_n > 0")
         .withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
         .withColumn("_mix_key", F.xxhash64("doc_id", "replica", F.lit(seed)))
-        .drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_n")
+        .drop("_mix_source", "_mix_cdf", "_mix_n")
         .repartition("_mix_key")
         .sortWithinPartitions("_mix_key")
         .drop("_mix_key")

@@ -42,6 +42,8 @@ DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS = 16_384, 2_000_000, 200
 #: Uncompressed bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 64_000_000
 LEVEL = 3
+#: Archives are read by a task each, up to so many tasks.
+MOST_TASKS = 20_000
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: One date for all records, so that archives are the same on every run.
@@ -250,7 +252,9 @@ def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
             yield out()
 
     kinds = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
-    return archives.select("path").repartition("path").mapInArrow(run, kinds + (", payload binary" if payloads else ""))
+    # a given number of partitions, which adaptive execution does not merge: a path is few bytes, an archive many
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    return archives.select("path").repartition(tasks).mapInArrow(run, kinds + (", payload binary" if payloads else ""))
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:

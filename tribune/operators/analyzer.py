@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ class SimpleAnalyzer:
     def tokens_of(self, text: str) -> list[str]:
         # through the same expression, so that letters and cases mean the same
         spark = SparkSession.getActiveSession()
-        return list(spark.range(1).select(self.tokens(F.lit(text)).alias("t")).first().t)
+        # an Arrow table becomes a local relation, which the optimiser evaluates without a job
+        return list(spark.createDataFrame(pa.table({"text": [text]})).select(self.tokens(F.col("text")).alias("t")).first().t)
 
 
 class PandasAnalyzer:

@@ -38,7 +38,7 @@ def test_op1(spark, sf_dir, docs):
 
 def test_op2(spark, sf_dir, docs):
     expect = plain(list(zip(docs.doc_id, docs.text)))
-    got = {r.doc_id: (r.n_links, r.group_id) for r in queries.op2_ngram_jaccard(spark, sf_dir).collect()}
+    got = {r.doc_id: (r.n_links, r.class_id) for r in queries.op2_ngram_jaccard(spark, sf_dir).collect()}
     assert got == expect
 
 

@@ -15,14 +15,15 @@ from pyspark.sql.types import StructType
 
 #: Words a worker remembers before it starts afresh; bounds the memory of a Python task.
 WORDS_HELD = 300_000
+#: Temporary folders by application, only where spark.checkpoint.dir is unset (as in tests).
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(spark.sparkContext.applicationId)
     if not root:
-        root = tempfile.mkdtemp(prefix="tribune-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tribune-")
     return root.rstrip("/")
 
 

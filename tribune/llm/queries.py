@@ -24,7 +24,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("group_id").alias("class_id"), "n_links", "kept")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

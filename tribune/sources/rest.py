@@ -57,7 +57,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Request]:
         return self.requests
 
-    def read(self, request: Request) -> Iterator[tuple]:
+    def read(self, request: Request | None) -> Iterator[tuple]:
+        if request is None:  # how Spark reads a source without partitions
+            return
         options = self.source.options
         pause, tries, wait = float(options.get("pause", 6.1)), int(options.get("tries", 1)), float(options.get("wait", 10))
         answer = None

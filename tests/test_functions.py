@@ -44,6 +44,12 @@ def test_look_back(spark):
     assert [str(g) for g in got] == ["2024-02-16", "2019-04-04"]
 
 
+def test_until(spark):
+    now = date(2024, 3, 1)
+    got = column(spark, [("2024-01-02", now), ("", now), (None, now)], "s string, d date", lambda x: dates.until(x.s, x.d))
+    assert [str(g) for g in got] == ["2024-01-02", "2024-03-01", "2024-03-01"]
+
+
 def test_split_speaker(spark):
     rows = {
         "Peaminister Kaja Kallas": ("Kaja Kallas", "Peaminister"),

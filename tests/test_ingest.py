@@ -131,3 +131,15 @@ def test_rest_sources(spark):
     assert [json.loads(r)["uuid"] for r in rows("rest_voters", url="http://x", votings=votings, tries="2")] == ["u1"]
     assert rest.months("2019-04-04", "2019-06-10") == [("2019-04-04", "2019-04-30"), ("2019-05-01", "2019-05-31"), ("2019-06-01", "2019-06-10")]
     assert rest.months("2020-01-02", "2020-01-01") == []
+
+
+def test_streaming_counts_are_batch_counts(spark, tmp_path):
+    days = ["2024-01-01", "2024-01-01", "2024-01-05", "2024-02-01", "2024-02-01", "2024-03-01"]
+    spark.createDataFrame([(d,) for d in days], "date string").write.json(str(tmp_path / "days"))
+    rows = spark.readStream.schema("date string").json(str(tmp_path / "days"))
+    query = stream.counts_by_day(rows).writeStream.format("memory").queryName("day_counts").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {}
+    for r in spark.table("day_counts").collect():
+        got[r.date] = max(got.get(r.date, 0), r["count"])
+    assert got == {d: days.count(d) for d in days}

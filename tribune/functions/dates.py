@@ -69,3 +69,8 @@ def month_chunks(start: Column, end: Column) -> Column:
 def look_back(known: Column, now: Column, first: str = "2019-04-04", days: int = 14) -> Column:
     """Where polling starts: some days before now when anything is known, else at the first day of all."""
     return F.when(known, F.date_sub(now, days)).otherwise(F.lit(first).cast("date"))
+
+
+def until(last_processed: Column, today: Column) -> Column:
+    """Where polling ends: at the last day that is known to be processed, else today."""
+    return F.coalesce(F.nullif(last_processed, F.lit("")).cast("date"), today)

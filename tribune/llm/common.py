@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Words a worker remembers before it starts afresh; bounds the memory of a Python task.
-WORDS_HELD = 300_000
+WORDS_HELD = 200_000
 #: Temporary folders by application, only where spark.checkpoint.dir is unset (as in tests).
 _own_dirs: dict[str, str] = {}
 
@@ -169,6 +169,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def in_slices(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """A batch's texts, of which only some are Python objects at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
 def text_chunks(texts: Iterable[str | None], words: int = 20_000) -> Iterator[list[str]]:
     """Lists of texts (null: empty) with about so many words in each, so that work arrays stay small."""
     held: list[str] = []

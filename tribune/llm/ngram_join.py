@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, across, cut, deal_blocks, link_counts, mix, pairs_within, stars, text_chunks, whole_groups
+from .common import Words, across, cut, deal_blocks, in_slices, link_counts, mix, pairs_within, stars, text_chunks, whole_groups
 from .components import components, grouped
 
 WORDS = 5
@@ -124,7 +124,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         words = Words()
         for batch in batches:
             done = 0
-            for texts in text_chunks(batch.column(1).to_pylist()):
+            for texts in text_chunks(in_slices(batch.column(1))):
                 values, counts = shingles(texts, words)
                 signs = minhash(values, counts)
                 ends = np.cumsum(counts)

@@ -8,7 +8,8 @@ with the longer last piece wins. A character that no piece covers costs more tha
 any piece and becomes its UTF-8 bytes' pieces, or the unknown piece where a model has none.
 
 No piece may hold a space sign after another character in the models used here, so a text's best segmentation is that of
-its words one after another; words are searched once and remembered in a bounded table.
+its words one after another; words are searched once and remembered in a bounded table
+(a line break that no piece holds stands alone, too).
 For a model with such pieces the whole text is searched as one.
 
 A model with BPE scores (minus the rank of the merge) is searched by the same rule: the result is a
@@ -31,11 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_chunks, with_fields
+from .common import in_slices, text_chunks, with_fields
 
 SPACE = "▁"
 #: Pieces per worker that are remembered with their ids before the table starts afresh.
-HELD = 400_000
+HELD = 300_000
 #: What an uncovered character costs beyond the lowest score, a fixed value of SentencePiece.
 UNKNOWN_PENALTY = 10.0
 #: Kinds of pieces in a model file, fixed values.
@@ -120,6 +121,7 @@ class Codec:
         self.unknown = m.kinds.index(UNKNOWN) if UNKNOWN in m.kinds else 0
         self.byte_ids = {int(m.pieces[k][1:-1], 16): k for k, kind in enumerate(m.kinds) if kind == BYTE}
         self.by_word = all(SPACE not in m.pieces[k].lstrip(SPACE) for k in searched)
+        self.by_line = self.by_word and not any("\n" in m.pieces[k] for k in searched)
         # ids of remembered words, one after another
         self.rows: dict[str, int] = _Rows(self)
         self.clear()
@@ -147,44 +149,47 @@ class Codec:
             text = SPACE + text
         if not self.by_word:
             return [text]
-        parts = text.split(SPACE)
-        if "" not in parts[1:]:
-            return [SPACE + p for p in parts[1:]] if not parts[0] else [parts[0], *(SPACE + p for p in parts[1:])]
-        out = [parts[0]] if parts[0] else []
-        run = ""
-        for p in parts[1:]:
-            run += SPACE
-            if p:
-                out.append(run + p)
-                run = ""
-        return [*out, run] if run else out
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n") if self.by_line else [text]):
+            if k:
+                out.append("\n")
+            parts = line.split(SPACE)
+            if parts[0]:
+                out.append(parts[0])
+            run = ""
+            for p in parts[1:]:
+                run += SPACE
+                if p:
+                    out.append(run + p)
+                    run = ""
+            if run:
+                out.append(run)
+        return out
 
     def segment(self, part: str) -> list[int]:
         """Ids of the best segmentation of one part."""
-        best, back = [0.0], [(0, 0)]
-        if len(self.automaton):
-            for end, (size, score, piece) in self.automaton.iter(part):
-                while len(best) <= end + 1:  # first reached: as an uncovered character
-                    best.append(best[-1] + self.unknown_score)
-                    back.append((1, -1))
-                total = best[end + 1 - size] + score
-                if total > best[end + 1]:
-                    best[end + 1] = total
-                    back[end + 1] = (size, piece)
-        while len(best) <= len(part):
-            best.append(best[-1] + self.unknown_score)
-            back.append((1, -1))
+        n, cost = len(part), self.unknown_score
+        best, size_of, piece_of = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        reached = 0
+        for end, (size, score, piece) in self.automaton.iter(part) if len(self.automaton) else ():
+            end += 1
+            while reached < end:  # at first as an uncovered character
+                best[reached + 1] = best[reached] + cost
+                reached += 1
+            total = best[end - size] + score
+            if total > best[end]:
+                best[end], size_of[end], piece_of[end] = total, size, piece
         ids: list[int] = []
         at = len(part)
         while at:
-            size, piece = back[at]
+            piece = piece_of[at]
             if piece >= 0:
                 ids.append(piece)
             elif self.byte_ids:
                 ids += [self.byte_ids[b] for b in reversed(part[at - 1].encode("utf-8", "replace"))]
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
-            at -= size
+            at -= size_of[at]
         return ids[::-1]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +203,9 @@ class Codec:
             counts[k] = len(own)
             parts += own
         rows = np.fromiter(map(self.rows.__getitem__, parts), dtype=np.int64, count=len(parts))
-        starts, sizes = np.array(self.starts, dtype=np.int64)[rows], np.array(self.sizes, dtype=np.int64)[rows]
-        ids = np.array(self.flat, dtype=np.int32)[_ranges(starts, sizes)]
+        # the arrays are read in place; they can grow again once these views of them are gone
+        starts, sizes = np.frombuffer(self.starts, dtype=np.int64)[rows], np.frombuffer(self.sizes, dtype=np.int64)[rows]
+        ids = np.frombuffer(self.flat, dtype=np.int32)[_ranges(starts, sizes)]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         last = np.cumsum(counts)
         return ids, ends[last] - ends[last - counts]
@@ -256,7 +262,7 @@ def encode(df: DataFrame, model: bytes, column: str = "text", check: bool = Fals
         codec = Codec(model)
         for batch in batches:
             done = 0
-            for texts in text_chunks(batch.column(at).to_pylist()):
+            for texts in text_chunks(in_slices(batch.column(at))):
                 rows = batch.slice(done, len(texts))
                 done += len(texts)
                 null = rows.column(at).is_null()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS_HELD, mix, text_chunks, with_fields
+from .common import WORDS_HELD, in_slices, mix, text_chunks, with_fields
 
 BITS = 18
 SAMPLE_ROWS = 16_000
@@ -145,7 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         known, own = _Words(), sent.value
         for batch in batches:
             done = [np.empty(0)]
-            for chunk in text_chunks(batch.column(at).to_pylist()):
+            for chunk in text_chunks(in_slices(batch.column(at))):
                 feats, sizes = features(chunk, known, bits)
                 done.append(_mean_weights(own, feats, sizes))
             logit = np.concatenate(done) + bias

@@ -66,8 +66,7 @@ def test_op5(spark, sf_dir):
 
 def test_op7(spark, sf_dir, docs):
     got = queries.op7_fuzzy_lines(spark, sf_dir).collect()
-    norm = lambda t: " ".join(t.translate(line_dedup._DIGITS).lower().split())
-    every = {(i, n): norm(x) for i, t in zip(docs.doc_id, docs.text) for n, x in enumerate(t.split("\n")) if len(x.split()) >= 5}
+    every = {(i, n): line_dedup.normalised(x) for i, t in zip(docs.doc_id, docs.text) for n, x in enumerate(t.split("\n")) if len(x.split()) >= 5}
     assert {(r.doc_id, r.line_no) for r in got} == set(every)
     counts = Counter(every.values())
     first = {}

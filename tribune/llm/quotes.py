@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking.
 
 Messages are split into their own text and the passages they quote: runs of lines with the same number of leading '>' signs. A
-passage is normalised (lower case, white space as single spaces) and hashed, and so are the own text and every own line of each
-message; the hash is joined within the conversation to the first message that has it. A message replies to the message it quotes, that of
+passage is normalised (lower case, white space as single spaces) and hashed, with each of its paragraphs, lines and sentences, and so are the own text
+of each message, each part of it between quotations, and their paragraphs, lines and sentences (so a part that was re-wrapped is found by
+paragraph or sentence; a re-wrapped fragment that holds no whole sentence is not); the hash is joined within the conversation to the first message that has it. A message replies to the message it quotes, that of
 the lowest quote level, then of the longest passage; without a link to an earlier message it replies to the turn before it.
 
 The replies make a tree. A conversation is put in reply order: every message is followed by the replies to it in order of turns, each with all that
@@ -33,9 +34,21 @@ _QUOTE = re.compile(r"\s{0,3}((?:>\s?)+)(.*)", re.S)
 _ATTRIBUTION = re.compile(r"(wrote|écrit|schrieb|escribió)\s*:\s*$")
 
 
+#: Where a sentence ends: in scripts without spaces none follows.
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+
+
 def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
     """Own text, and (level, passage) of what is quoted in it."""
+    own, passages, _ = _split(text)
+    return own, passages
+
+
+def _split(text: str) -> tuple[str, list[tuple[int, str]], list[str]]:
+    """What split_quotes gives, and the parts of the own text between quotations."""
     own: list[str] = []
+    breaks = [0]
     passages: list[tuple[int, list[str]]] = []
     last = 0
     for line in text.split("\n"):
@@ -47,23 +60,35 @@ def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
         level = found[1].count(">")
         if last == 0 and own and _ATTRIBUTION.search(own[-1]):
             own.pop()
+        if last == 0:
+            breaks.append(len(own))
         if level != last:
             passages.append((level, []))
         passages[-1][1].append(found[2])
         last = level
-    return "\n".join(own).strip("\n") if passages else text, [(n, "\n".join(p)) for n, p in passages]
+    if not passages:
+        return text, [], [text]
+    parts = ["\n".join(own[a:b]) for a, b in zip(breaks, [*breaks[1:], len(own)], strict=True)]
+    return "\n".join(own).strip("\n"), [(n, "\n".join(p)) for n, p in passages], parts
 
 
 def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def pieces(text: str) -> list[str]:
+    """The text itself, its paragraphs, lines and sentences, normalised."""
+    paragraphs = _PARAGRAPH.split(text)
+    found = [text, *paragraphs, *text.split("\n"), *(x for p in [text, *paragraphs] for x in _SENTENCE.split(" ".join(p.split())))]
+    return [p for p in dict.fromkeys(map(normalised, found)) if p]
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """messages with own_text, said (hashes of own text and lines) and quoted (level, length and hash of each passage and its lines)."""
+    """messages with own_text, said (hashes of own text, its parts and their pieces) and quoted (level, length and hash of each passage and its pieces)."""
     schema = with_fields(messages, ("own_text", "string"), ("said", "array<long>"), ("quoted", "array<struct<level:int,size:int,hash:long>>"))
     at, names = messages.columns.index("text"), schema.names
     quoted = pa.list_(pa.struct([("level", pa.int32()), ("size", pa.int32()), ("hash", pa.int64())]))
@@ -72,12 +97,11 @@ def parse(messages: DataFrame) -> DataFrame:
         for batch in batches:
             owns, said, quotes = [], [], []
             for text in batch.column(at).to_pylist():
-                own, passages = split_quotes(text or "")
+                own, passages, parts = _split(text or "")
                 owns.append(own)
-                parts = {normalised(p) for p in [own, *own.split("\n")]} - {""}
-                said.append([_digest(p) for p in parts])
-                whole = [(n, normalised(p)) for level, passage in passages for n, p in [(level, passage), *((level, line) for line in passage.split("\n"))]]
-                quotes.append([{"level": n, "size": len(p), "hash": _digest(p)} for n, p in dict.fromkeys(whole) if p])
+                said.append([_digest(p) for p in {p for x in {own, *parts} for p in pieces(x)}])
+                whole = [(level, p) for level, passage in passages for p in pieces(passage)]
+                quotes.append([{"level": n, "size": len(p), "hash": _digest(p)} for n, p in dict.fromkeys(whole)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(owns, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quotes, quoted)], names=names)
 
     return messages.mapInArrow(run, schema)

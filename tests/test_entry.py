@@ -42,16 +42,27 @@ def test_entry(spark):
     assert df.columns == ["speech_id", "count"] and df.count() > 0
 
 
-def test_works_without_the_llm_folders(tmp_path):
+def run_copy(tmp_path, code):
     for name in os.listdir(ROOT):
-        if name not in (".git", "corpus_pipeline.py", "tribune", "tests"):
+        if name not in (".git", "corpus_pipeline.py", "tribune", "tests", "__spark_entry__.py"):
             (tmp_path / name).symlink_to(ROOT / name)
     (tmp_path / "tribune").mkdir()
     for name in os.listdir(ROOT / "tribune"):
         if name != "llm":
             (tmp_path / "tribune" / name).symlink_to(ROOT / "tribune" / name)
-    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()) and len(e.queries()) > 30 and not e.HAS_LLM"
-    env = os.environ | {"PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"}
-    (tmp_path / "__spark_entry__.py").unlink()
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
+    env = os.environ | {"PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+WITHOUT = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()) and len(e.queries()) > 30 and not e.llm and not e.pipeline"
+
+
+def test_works_without_the_llm_folders(tmp_path):
+    run_copy(tmp_path, WITHOUT)
+
+
+def test_works_without_what_the_llm_folders_import(tmp_path):
+    # a pipeline whose package is gone, as if one of its dependencies were not installed
+    (tmp_path / "corpus_pipeline.py").write_text("from tribune.llm import absent")
+    run_copy(tmp_path, "import sys; sys.modules['ahocorasick'] = None\n" + WITHOUT)

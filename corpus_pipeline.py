@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tribune.llm import exact_dedup, mixing, ngram_join, pieces, quality
-from tribune.llm.common import cut
+from tribune.tables import cut
 from tribune.llm.queries import PIECES, table
 
 

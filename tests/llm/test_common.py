@@ -5,23 +5,6 @@ from pyspark.sql import functions as F
 from tribune.llm import common
 
 
-class Unset:
-    """A session without spark.checkpoint.dir."""
-
-    class conf:
-        @staticmethod
-        def get(key, default):
-            return default
-
-    class sparkContext:
-        applicationId = "app-1"
-
-
-def test_own_folder_only_where_unset(spark):
-    assert common.shared_dir(Unset) == common.shared_dir(Unset)
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-
-
 def test_any_two_rows_of_a_key_meet_once(spark):
     rows = spark.range(60).select(F.col("id"), (F.col("id") % 2).alias("key"))
     dealt = common.deal_blocks(rows, ["key"], F.col("id"), F.when(F.col("key") == 0, 5).otherwise(1)).collect()

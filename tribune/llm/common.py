@@ -1,52 +1,18 @@
-"""What the operators of this package share: scratch tables, block deals, word hashes."""
+"""What the operators of this package share: block deals, work within tasks, word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Words a worker remembers before it starts afresh; bounds the memory of a Python task.
 WORDS_HELD = 200_000
-#: Temporary folders by application, only where spark.checkpoint.dir is unset (as in tests).
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(spark.sparkContext.applicationId)
-    if not root:
-        root = _own_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tribune-")
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here, and nothing above runs twice."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete what cut() wrote for df, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
 
 def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     """df's schema and more fields after it."""

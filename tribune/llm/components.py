@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_scratch
+from ..tables import cut, drop_scratch
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from ..tables import cut, scratch
 
 #: Up to so many dropped rows (16 bytes each) their keys are broadcast to filter the documents; beyond, a shuffle joins them.
 BROADCAST_ROWS = 2_000_000

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import across, cut, deal_blocks, differing_bits, link_counts, mix, pairs_within, stars, whole_groups
+from ..tables import cut
+from .common import across, deal_blocks, differing_bits, link_counts, mix, pairs_within, stars, whole_groups
 from .components import components, grouped
 
 THRESHOLD = 0.9

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..tables import cut
 
 #: exp(-rate) must not vanish; no source may be repeated more often than this on average.
 MOST_RATE = 500.0

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, across, cut, deal_blocks, in_slices, link_counts, mix, pairs_within, stars, text_chunks, whole_groups
+from ..tables import cut
+from .common import Words, across, deal_blocks, in_slices, link_counts, mix, pairs_within, stars, text_chunks, whole_groups
 from .components import components, grouped
 
 WORDS = 5

@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_scratch, with_fields
+from ..tables import cut, drop_scratch
+from .common import with_fields
 
 _QUOTE = re.compile(r"\s{0,3}((?:>\s?)+)(.*)", re.S)
 #: Words that end the line that attributes a quotation, fixed values.

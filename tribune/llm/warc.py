@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from ..tables import cut, scratch
 
 #: Magic number of the skippable frame that holds a dictionary, of Zstandard frames and of a bare dictionary: fixed values.
 DICT_MAGIC, FRAME_MAGIC, RAW_DICT_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"

@@ -50,10 +50,32 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = mixing.mix_sources(docs, {"src0": 0.2}, epochs=4)
     assert got.columns == [*docs.columns, "replica"]
-    assert {r.source for r in got.collect()} <= {"b"}  # the others have no size
-    assert got.count() % 2 == 0
+    assert {r.source for r in got.collect()} <= {"src0", "b", "c"}
+    sizes = {r.source: r["size"] for r in mixing.rates(docs, {"src0": 0.2}).collect()}
+    assert sizes == {"src0": 2, "b": 10, "c": 1}
     assert mixing.mix_sources(docs.limit(0), {"src0": 0.2}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(docs, {"a": 0.7, "b": 0.7})
-    with pytest.raises(Exception, match="repeats of source"):
-        mixing.mix_sources(docs, {"b": 1.0}, epochs=1000).collect()
+
+
+def test_high_rates_are_split(spark):
+    docs = spark.createDataFrame([(k, "x", "rare" if k < 20 else "rest", 1) for k in range(20_000)], "doc_id long, text string, source string, n_chars long")
+    rate = {r.source: r.rate for r in mixing.rates(docs, {"rare": 0.9}).collect()}["rare"]
+    assert rate == pytest.approx(900)
+    counts = {r.doc_id: r["count"] for r in mixing.mix_sources(docs, {"rare": 0.9}).where("source = 'rare'").groupBy("doc_id").count().collect()}
+    assert len(counts) == 20 and abs(sum(counts.values()) / 20 - rate) < 4 * math.sqrt(rate / 20)
+    parts = math.ceil(rate / mixing.MOST_RATE)
+
+    def drawn(doc, j):
+        import hashlib
+
+        u = (int(hashlib.md5(f"{doc}{'' if j == 1 else f'/{j}'}:{mixing.SEED}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, term = 0, math.exp(-rate / parts)
+        total = term
+        while total < u:
+            k += 1
+            term *= rate / parts / k
+            total += term
+        return k
+
+    assert counts == {d: sum(drawn(d, j) for j in range(1, parts + 1)) for d in range(20)}

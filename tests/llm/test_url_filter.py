@@ -38,9 +38,10 @@ def test_rules_and_links(spark):
         (9, None, a("bad.com"), None),
         (10, "http://notnet/", "", "z"),
     ]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, verdict string")
+    # columns named like those at work are the user's
+    df = spark.createDataFrame([(*p, "r", "b") for p in pages], "page_id long, url string, html string, verdict string, rules string, by_host string")
     rows = u.judge(df, u.RULES).collect()
-    assert len(rows) == len(pages)
+    assert len(rows) == len(pages) and all((r.rules, r.by_host) == ("r", "b") for r in rows)
     hosts = {"w.example.net", "q.org", "bad.com", "good.com", "s.example.com", "notnet", "x.com", "spam.net"}
     links = {("w.example.net", "x.com"), ("q.org", "good.com"), ("bad.com", "w.example.net"), ("bad.com", "spam.net"), ("good.com", "bad.com")}
     trust = rank(hosts, links, {"w.example.net", "q.org"})
@@ -56,3 +57,16 @@ def test_rules_and_links(spark):
         6: (None, own("good.com")), 7: ("example.com/de/", "block"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow"),
     }
     assert u.judge(df.limit(0), u.RULES).count() == 0
+
+
+def test_cycles_converge(spark):
+    ring = [f"h{k}.com" for k in range(12)]
+    links = {(ring[k], ring[(k + 1) % 12]) for k in range(12)} | {("h3.com", "a.net"), ("b.org", "h5.com")}
+    hosts = {*ring, "a.net", "b.org"}
+    marked = spark.createDataFrame([(h, h == "b.org", h == "a.net") for h in hosts], "host string, trusted boolean, blocked boolean")
+    got = {r.host: (r.trust, r.distrust) for r in u.spread(marked, spark.createDataFrame(sorted(links), "src string, dst string")).collect()}
+    trust, distrust = rank(hosts, links, {"b.org"}), rank(hosts, {(d, s) for s, d in links}, {"a.net"})
+    most = u.ERROR / len(hosts)
+    assert sum(abs(got[h][0] - trust[h]) + abs(got[h][1] - distrust[h]) for h in hosts) <= most
+    none = u.spread(marked, spark.createDataFrame([], "src string, dst string")).collect()
+    assert {r.host: (r.trust, r.distrust) for r in none} == {h: (float(h == "b.org"), float(h == "a.net")) for h in hosts}

@@ -5,12 +5,14 @@ are reduced to (digest, doc_id, content locator, length) and stream through an a
 by the digest. Its state lies on disk (RocksDB, checkpointed to the shared folder) and holds for each digest
 the identifier and locator of the row that stays and the number of rows so far. There is no watermark, so
 a digest is known for good, and a later run over new arrivals with the same state folder continues where the
-last one stopped; a lost executor's state is read again from the checkpoint.
+last one stopped; a lost executor's state is read again from the checkpoint. The locator names the run
+of a text and its hash; runs that share a state folder keep their texts in it, so that they can be read again.
 
 A digest that is met again is a hit, not yet a copy: the full normalised text of each hit is
-compared with that of the row that stays. Digests whose texts differ are grouped by their whole texts instead.
+compared with that of the row that stays, wherever that arrived; the texts of a hot digest are dealt over many keys. Digests whose texts differ are grouped by their whole texts instead.
 
-Of equal texts the row with the most code points stays, then the smallest doc_id. Defined cases: null text
+Of equal texts the row with the most code points stays, then the smallest doc_id. A run returns the rows of its own docs, judged
+by all that has arrived so far; what an earlier run returned is not taken back. Defined cases: null text
 counts as empty, and empty texts are equal to each other; a null doc_id comes after all others; rows with the same
 doc_id and the same text are one document that occurs twice: they count twice in group_size, both have kept true when
 that doc_id stays, and filter_kept() returns both if both were there; an empty table gives an empty result; extra columns are ignored by dedup() and kept by filter_kept().
@@ -18,6 +20,7 @@ that doc_id stays, and filter_kept() returns both if both were there; an empty t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,8 @@ from ..tables import cut, scratch
 
 #: Up to so many dropped rows (16 bytes each) their keys are broadcast to filter the documents; beyond, a shuffle joins them.
 BROADCAST_ROWS = 2_000_000
+#: Up to so many hits (100 bytes each) are broadcast to find their texts; beyond, a shuffle joins them. Hits of one digest that share a key.
+BROADCAST_HITS, HITS_A_KEY = 500_000, 1_000
 _BLANKS = " \t\n\x0b\x0c\r"
 #: State on disk; a store is closed when its task has committed, so an executor keeps open (and on its own disk) only those at work.
 _STATE_CONF = {
@@ -43,12 +48,12 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """What of a row takes part: doc_id, locator (file and text hash), n_points, text_sha256, digest."""
+def arrivals(docs: DataFrame, run: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """What of a row takes part: doc_id, locator (run and text hash), n_points, text_sha256, digest."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.struct(F.input_file_name().alias("file"), F.xxhash64(text).alias("text_hash")).alias("locator"),
+        F.struct(F.lit(run).alias("run"), F.xxhash64(text).alias("text_hash")).alias("locator"),
         F.length(text).alias("n_points"),
         sha256(normalised(F.col("text"))).alias("text_sha256"),
         *([] if digest is sha256 else [digest(normalised(F.col("text"))).alias("digest")]),
@@ -56,15 +61,22 @@ def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Da
     return rows if digest is not sha256 else rows.withColumn("digest", F.col("text_sha256"))
 
 
+def contents(docs: DataFrame, run: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, run, text_hash, n_points, digest and the full normalised text of each row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(run).alias("run"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("n_points"), normalised(F.col("text")).alias("full"))
+    return rows.withColumn("digest", digest(F.col("full")))
+
+
 def absorb(spark: SparkSession, landing: str, state: str) -> DataFrame:
     """Stream what is new in the landing folder through the state; the row that stays and the count of each digest.
 
     Every run appends the digests it changed to a log beside the state; the last entry of a digest holds.
     """
     log = f"{state}/log"
-    schema = spark.read.parquet(landing).schema
+    schema = spark.read.parquet(f"{landing}/*").schema
     stays = F.max(F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("order"), "doc_id", "locator"))
-    groups = spark.readStream.schema(schema).parquet(landing).groupBy("digest").agg(stays.alias("stays"), F.count("*").alias("group_size"))
+    groups = spark.readStream.schema(schema).parquet(f"{landing}/*").groupBy("digest").agg(stays.alias("stays"), F.count("*").alias("group_size"))
 
     def append(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure writes the same folder again
@@ -84,38 +96,44 @@ def absorb(spark: SparkSession, landing: str, state: str) -> DataFrame:
     return last.select("digest", F.col("last.stays.doc_id").alias("keep_id"), F.col("last.stays.locator").alias("keep_locator"), F.col("last.group_size").alias("group_size"))
 
 
-def differing(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Digests with a hit whose full normalised text is not that of the row that stays."""
-    hits = rows.where("group_size > 1").select("doc_id", "locator", "digest", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator.text_hash") == F.col("keep_locator.text_hash"))).alias("stays"))
-    hits = hits.dropDuplicates(["doc_id", "locator", "digest"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), normalised(F.col("text")).alias("full")).alias("t")
-    found = texts.join(hits.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_hash") == F.col("h.locator.text_hash"))).select("digest", "stays", "full")
-    kept = found.where("stays").dropDuplicates(["digest"]).select(F.col("digest").alias("kept_digest"), F.col("full").alias("kept_full"))
-    pairs = found.where("not stays").join(kept, F.col("digest") == F.col("kept_digest"), "left")
-    return pairs.where(~F.col("full").eqNullSafe(F.col("kept_full"))).select("digest").distinct()
+def differing(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Digests with a hit whose full normalised text is not that of the row that stays. texts: contents of all runs that rows name."""
+    met = rows.where("group_size > 1").withColumn("n_keys", F.ceil(F.col("group_size") / HITS_A_KEY).cast("int"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))
+    key = F.pmod(F.xxhash64("doc_id", "locator.text_hash"), F.col("n_keys")).cast("int")
+    hits = met.where(~stays).select("digest", "doc_id", "locator.run", "locator.text_hash", F.array(key).alias("keys"), F.lit(False).alias("stays"))
+    kept = met.select("digest", F.col("keep_id").alias("doc_id"), "keep_locator.run", "keep_locator.text_hash", F.sequence(F.lit(0), F.col("n_keys") - 1).alias("keys"), F.lit(True).alias("stays"))
+    asked = cut(hits.union(kept).distinct(), "hits")
+    asked = (F.broadcast(asked) if asked.count() <= BROADCAST_HITS else asked).alias("h")
+    t = texts.select("doc_id", "run", "text_hash", "full").alias("t")
+    same = F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_hash") == F.col("h.text_hash")) & (F.col("t.run") == F.col("h.run"))
+    found = t.join(asked, same).select("digest", "stays", F.explode("keys").alias("key"), "full").dropDuplicates(["digest", "stays", "key", "full"])
+    # equal texts of a key are one row by now: two kinds with one text, or the digest is wrong
+    compared = found.groupBy("digest", "key").agg(F.count_distinct("full").alias("n_texts"))
+    return compared.where("n_texts > 1").select("digest").distinct()
 
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, text_hash, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
+    """One row per row of docs: doc_id, text_hash, keep_id, group_size, kept, text_sha256. With a state folder, docs are new
+    arrivals after those of earlier runs with the same folder."""
+    spark, run = docs.sparkSession, uuid.uuid4().hex
+    texts = contents(docs, run, digest)
+    if state:
+        texts.write.parquet(f"{state}/contents/{run}")
+        texts = spark.read.parquet(f"{state}/contents/*")
     state = state or scratch(spark, "dedup-state")
     landing = f"{state}/landing"
-    arrivals(docs, digest).write.mode("append").parquet(landing)
-    known = spark.read.parquet(landing)
-    rows = known.join(absorb(spark, landing, state), "digest")
-    wrong = cut(differing(docs, rows), "differing")
-    result = rows
-    if wrong.count():  # as many rows as there are colliding digests
-        right = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("full"))
-        right = right.withColumn("digest", digest(F.col("full"))).join(wrong, "digest", "left_semi")
+    arrivals(docs, run, digest).write.parquet(f"{landing}/{run}")
+    rows = spark.read.parquet(f"{landing}/{run}").join(absorb(spark, landing, state), "digest")
+    wrong = cut(differing(texts, rows), "differing")
+    result = rows.select("digest", "doc_id", F.col("locator.text_hash").alias("text_hash"), "keep_id", "group_size", "text_sha256")
+    if wrong.limit(1).count():
+        right = texts.join(wrong, "digest", "left_semi")
         stays = F.max(F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("order"), "doc_id")).alias("stays")
         groups = right.groupBy("full").agg(stays, F.count("*").alias("group_size"))
-        mended = right.join(groups, "full").select("doc_id", "text_hash", F.col("stays.doc_id").alias("keep_id"), "group_size", sha256(F.col("full")).alias("text_sha256"))
-        result = rows.join(wrong, "digest", "left_anti")
-    result = result.select("doc_id", F.col("locator.text_hash").alias("text_hash"), "keep_id", "group_size", "text_sha256")
-    if wrong.count():
-        result = result.unionByName(mended)
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        mended = right.where(F.col("run") == run).join(groups, "full").select("digest", "doc_id", "text_hash", F.col("stays.doc_id").alias("keep_id"), "group_size", sha256(F.col("full")).alias("text_sha256"))
+        result = result.join(wrong, "digest", "left_anti").unionByName(mended)
+    return result.drop("digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def filter_kept(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ The weights (2**18 numbers at most) travel with the scoring tasks, which take ev
 
 Defined cases: a null or empty text has no features and its score is that of the bias; labels that
 are null, or whose document is missing, teach nothing; without any labelled row every score is 0.5;
-rows that repeat a doc_id are scored each; extra columns are kept unless they bear the names of results.
+rows that repeat a doc_id are scored each, and one of those with the same label teaches; extra columns are kept unless they bear the names of results.
 """
 
 from __future__ import annotations
@@ -96,15 +96,28 @@ def ftrl(examples: Iterator[tuple[np.ndarray, np.ndarray, float]], size: int, al
     return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
 
 
+def _examples(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (doc_id, label, place, text) with the feature numbers and values of the text instead of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                some = batch.slice(k, 64)
+                idx, x = [], []
+                for text in some.column(3).to_pylist():
+                    feats, _ = features([text or ""], known, bits)
+                    own, counts = np.unique(feats, return_counts=True)
+                    idx.append(np.append(own, 1 << bits))
+                    x.append(np.append(SCALE * counts / max(feats.shape[1], 1), 1.0))
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(idx, pa.list_(pa.int64())), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "place", "idx", "x"])
+
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "place", "text").mapInArrow(run, "doc_id string, label double, place long, idx array<long>, x array<double>")
+
+
 def _train_shard(rows: pd.DataFrame, bits: int, epochs: int) -> pd.DataFrame:
-    rows = rows.sort_values(["place", "doc_id"], kind="stable")
-    known = _Words()
-    examples = []
-    for text, y in zip(rows["text"], rows["label"], strict=True):
-        feats, _ = features([text or ""], known, bits)
-        idx, counts = np.unique(feats, return_counts=True)
-        x = SCALE * counts / max(feats.shape[1], 1)
-        examples.append((np.append(idx, 1 << bits), np.append(x, 1.0), float(y)))
+    rows = rows.sort_values(["place", "doc_id", "label"], kind="stable")
+    examples = [(np.asarray(idx), np.asarray(x), float(y)) for idx, x, y in zip(rows["idx"], rows["x"], rows["label"], strict=True)]
     w = ftrl((e for _ in range(epochs) for e in examples), (1 << bits) + 1)
     (some,) = np.nonzero(w)
     return pd.DataFrame({"idx": some, "weight": w[some]})
@@ -116,14 +129,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learnable:
     known = labels.where(F.col(label).isin(0, 1))
     known = known.where(learnable) if learnable is not None else known
     place = F.xxhash64("doc_id", F.lit("quality"))
-    known = known.select("doc_id", F.col(label).cast("double").alias("label"), place.alias("place"))
+    known = known.select("doc_id", F.col(label).cast("double").alias("label"), place.alias("place")).distinct()
     total = known.count()
     keep = min(1.0, sample_rows / max(total, 1))
     sample = known.where(F.pmod("place", F.lit(1 << 20)) < F.lit(int(keep * (1 << 20))))
     # the sample is bounded by sample_rows, whatever the size of the tables, and so may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "place", "text")
+    # features, not texts, are shuffled; of rows with one id and label, one teaches
+    learned = _examples(texts, bits).groupBy("doc_id", "label", "place").agg(F.min(F.struct("idx", "x")).alias("f")).select("doc_id", "label", "place", "f.*")
     trained = (
-        texts.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
+        learned.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(lambda rows: _train_shard(rows, bits, epochs), "idx long, weight double")
     )

@@ -54,3 +54,41 @@ def test_links(spark, monkeypatch):
         assert {r.vec_id: (r.n_links, r.group_id) for r in got} == expect
         assert len(got) == len(rows) and all(r.kept == (r.vec_id is not None and r.vec_id == r.group_id) for r in got)
     assert la.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_and_lengths(spark):
+    rng = np.random.default_rng(5)
+    near = lambda v: (v + rng.normal(size=len(v)) * 0.02).tolist()
+    short, long = rng.normal(size=8), rng.normal(size=12)
+    rows = [(1, short.tolist()), (1, long.tolist()), (2, near(short)), (3, near(long)), (4, long.tolist())]
+    got = la.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.group_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def test_a_chain_costs_its_pairs(spark):
+    # each vector is near the next few only, all the way round a circle
+    n = 2000
+    angle = 2 * np.pi * np.arange(n) / n * 20
+    x = np.stack([f(angle * k) for k in (1, 2, 3, 5) for f in (np.cos, np.sin)], axis=1) + 0.0
+    got = {r.vec_id: (r.n_links, r.group_id) for r in la.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= la.THRESHOLD
+    np.fill_diagonal(near, False)
+    assert sum(g for g, _ in got.values()) >= 0.97 * near.sum()
+    assert all(got[k][0] <= near[k].sum() for k in range(n))
+
+
+def test_a_pair_has_one_first_cell():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    x[200:] = x[:200] + 0.2 * rng.normal(size=(200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    keys = la.cells(x)
+    # the same cells whatever other vectors are there
+    assert all((la.cells(x[k : k + n]) == keys[k : k + n]).all() for k, n in ((0, 1), (7, 30), (100, 300)))
+    a, b = np.arange(200), np.arange(200, 400)
+    first = la.first_cells(keys, a, b)
+    assert (first == la.first_cells(keys, b, a)).all() and (first > 0).mean() > 0.9
+    for k in range(200):
+        met = [c for t in range(la.TABLES) for c in sorted(({keys[k, t, 0]} & set(keys[200 + k, t])) | ({keys[200 + k, t, 0]} & set(keys[k, t])))]
+        assert first[k] == (met[0] if met else 0)

@@ -87,3 +87,25 @@ def test_minhash_estimates():
     assert counts.tolist() == [396, 396, 0]
     signs = nj.minhash(values, counts)
     assert abs((signs[0] == signs[1]).mean() - len(a & b) / len(a | b)) < 0.15
+
+
+def test_recall_at_the_threshold():
+    # MinHash values of pairs at a similarity are independent coins
+    rng = np.random.default_rng(5)
+    for similarity, least in ((0.8, 0.9995), (0.85, 0.99995)):
+        equal = rng.random((200_000, 64)) < similarity
+        met = equal.reshape(-1, nj.BANDS, nj.BAND_ROWS).all(axis=2).any(axis=1)
+        stays = np.ones(len(equal), dtype=bool)
+        for n, m in nj.least_equal():
+            stays &= equal[:, :n].sum(axis=1) >= m
+        assert (met & stays).mean() >= least
+
+
+def test_a_chain_costs_its_pairs(spark, monkeypatch):
+    # each document is similar to its neighbours only
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.group_id) for r in nj.near_duplicates(docs).collect()}
+    expect = plain(rows)
+    assert got == expect and {g for _, g in got.values()} == {0}

@@ -51,9 +51,11 @@ def test_against_recursion(spark):
                 lines = [">" * rng.randrange(1, 3) + " " + line.upper() for line in rng.sample(quoted, 1)] + lines
             texts[turn] = "\n".join(lines)
         rows += [(conv, t, "user", x, "extra") for t, x in texts.items()]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string").repartition(3)
+    # columns named like those at work are the user's
+    more = ["key", "start", "place", "slice", "before", "first", "n", "head", "rank", "own_text", "said", "quoted"]
+    df = spark.createDataFrame([(*r, *more) for r in rows], "conv_id long, turn long, role string, text string, position string, " + ", ".join(f"{c} string" for c in more)).repartition(3)
     got = quotes.format_chats(df).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and all([r[c] for c in more] == more for r in got)
     for conv in range(40):
         mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)
         expect, up = order([(t, x) for c, t, _, x, _ in rows if c == conv])
@@ -72,3 +74,12 @@ def test_odd_rows(spark):
     assert all(r.position is None and r.parent_turn is None for r in got if r.conv_id is None or r.turn is None)
     assert next(r for r in got if r.turn == 2).parent_turn == 0
     assert quotes.format_chats(df.limit(0)).count() == 0
+
+
+def test_deeply_nested_branches(spark):
+    # every turn is answered twice: at once and, later, by a branch that quotes it
+    rows = [(1, t, f"turn {t}" if t < 60 else f"> turn {119 - t}\nlate {t}") for t in range(120)]
+    got = quotes.format_chats(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    expect, up = order([(t, x) for _, t, x in rows])
+    assert [r.turn for r in sorted(got, key=lambda r: r.position)] == expect
+    assert {r.turn: r.parent_turn for r in got} == up

@@ -55,5 +55,37 @@ def test_pages(spark):
         expect.append((i, u, "revisit" if first else "response", len(b), hashlib.sha256(b).hexdigest(), first, b"" if first else b))
     key = lambda r: str(r[:3])
     assert sorted(((r.page_id, r.url, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, bytes(r.payload)) for r in got), key=key) == sorted(expect, key=key)
+    assert all(r.error is None for r in got)
     archives, folder = warc.archive(pages.limit(0))
     assert warc.read(archives, folder).count() == 0
+
+
+def other(kind, ident, block, *more, content="application/http;msgtype=response"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID:<{ident}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content}", *more, f"Content-Length:{len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    import base64
+
+    import zstandard
+
+    body = b"<p>hello</p>"
+    block = b"HTTP/1.1 200 OK\r\nServer:x\r\n\r\n" + body  # no length told
+    b32 = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    records = [
+        other("warcinfo", "urn:uuid:1", b"software: x\r\n", content="application/warc-fields"),
+        other("response", "urn:uuid:2", block, f"WARC-Block-Digest: sha1:{b32(block)}", f"WARC-Payload-Digest: sha1:{b32(body)}", "WARC-Target-URI: http://a/"),
+        other("response", "urn:uuid:3", block, "WARC-Block-Digest: crc9:zz"),
+        other("response", "urn:uuid:4", block, f"WARC-Payload-Digest: sha1:{b32(b'x')}"),
+        other("revisit", "urn:uuid:5", b"HTTP/1.1 304 Not Modified\r\n\r\n", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/server-not-modified"),
+        b"nonsense",
+        other("resource", "urn:uuid:6", b"plain", content="text/plain"),
+    ]
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(zstandard.compress(r) for r in records) + b"tail")
+    archives = spark.createDataFrame([(str(tmp_path / "a.warc.zst"),)], "path string")
+    got = warc.read(archives, str(tmp_path)).collect()
+    assert [(r.record_type, r.record_id) for r in got if not r.error] == [("warcinfo", "urn:uuid:1"), ("response", "urn:uuid:2"), ("response", "urn:uuid:3"), ("revisit", "urn:uuid:5"), ("resource", "urn:uuid:6")]
+    assert [r.error.split(":")[0] for r in got if r.error] == ["payload digest differs", "no WARC version line or no end of headers", "not a frame"]
+    assert [bytes(r.payload) for r in got if r.record_type in ("response", "resource")] == [body, body, b"plain"]
+    assert [warc.uri(x) for x in ("s3a://b/x", "s3n://b/x", "s3://b/x", "/s3a://", "hdfs://n/x")] == ["s3://b/x", "s3://b/x", "s3://b/x", "/s3a://", "hdfs://n/x"]

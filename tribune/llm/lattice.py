@@ -4,17 +4,18 @@ Vectors are scaled to length 1 and projected at random to eight dimensions, once
 of the lattice E8 is a vector's cell in that table; E8 packs and covers eight dimensions more tightly than a cubic grid, so near
 vectors more often share a cell. Each vector also probes the neighbouring cells (of the 240 around its own) that are
 nearest to it. Two vectors that meet in a cell which is the own cell of one of them, and whose random
-sign bits differ in few places, are candidates; spanning forests of the candidates give groups, within which the
-cosine of every pair is computed in double precision. Links are pairs with cosine >= 0.9.
+sign bits differ in few places, are candidates. Candidates of a cell form groups, within which the
+cosine of every candidate pair is computed in double precision; a pair that meets in several cells belongs to the first of them, so that it is
+verified and counted once, and a chain of vectors costs as many comparisons as it has candidate pairs. Links are pairs with cosine >= 0.9.
 
-Identical vectors form a class and travel as one. Cells and groups of any size are dealt into pairs of blocks
+Identical vectors form a class, named by a hash, and travel as one. Cells and groups of any size are dealt into pairs of blocks
 (common.deal_blocks); pairs exist only as index arrays inside a task, which returns link counts and spanning forests.
 
-With the defaults a pair at cosine 0.90 meets in some table with probability 0.98, one at 0.95 with 0.9999 (measured in
+With the defaults a pair at cosine 0.90 is found with probability 0.98, one at 0.95 with 0.9999 (measured in
 tests/llm). Cells are finer the larger `spread`: for corpora of billions of vectors raise it and `tables` together.
 
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component link with nothing and are
-their own component; vectors of different length never link; a row with a null vec_id links with nothing, its component is null and kept is false;
+their own component; vectors of different length never link; rows that share a vec_id are vectors of their own, linked by what they hold (identical ones link with each other); a row with a null vec_id links with nothing, its component is null and kept is false;
 labels and other columns are never read; an empty table gives an empty result.
 """
 
@@ -29,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut
-from .common import across, deal_blocks, differing_bits, link_counts, mix, pairs_within, stars, whole_groups
-from .components import components, grouped
+from ..tables import cut, drop_scratch
+from .common import across, deal_blocks, differing_bits, forest, link_counts, mix, pairs_within, whole_groups
+from .components import components
 
 THRESHOLD = 0.9
 TABLES, PROBES = 8, 8
 #: Standard deviation of a projected coordinate, in units of the lattice.
 SPREAD = 0.9
 #: Of 128 sign bits so many may differ: a pair at cosine 0.9 differs in 18 on average (deviation 4), a random one in 64.
-SIGN_BITS, MOST_DIFFERENT = 128, 36
+SIGN_BITS, MOST_DIFFERENT = 128, 32
 CELL_ROWS, GROUP_ROWS = 2_000, 1_000
 #: Up to so many hot cells (12 bytes each) are broadcast; beyond, a shuffle joins them.
 BROADCAST_ROWS = 1_000_000
@@ -95,9 +96,10 @@ def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, spread: flo
     out = np.empty((n, tables, 1 + probes), dtype=np.uint64)
     around = neighbours()
     for t, p in enumerate(_projections(dim, tables, spread)):
-        y = x @ p
+        # einsum, as a vector must have the same cells whatever others it is multiplied with
+        y = np.einsum("nd,dk->nk", x, p)
         own = decode(y)
-        nearest = np.argpartition(-((y - own) @ around.T), probes, axis=1)[:, :probes]
+        nearest = np.argpartition(-np.einsum("nk,mk->nm", y - own, around), probes, axis=1)[:, :probes]
         points = np.concatenate([own[:, None, :], own[:, None, :] + around[nearest]], axis=1)
         key = np.full(points.shape[:2], np.uint64(1 + t * 65_537 + dim), dtype=np.uint64)
         for k in range(8):
@@ -125,34 +127,71 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = cells(x)
                 signs = np.packbits(x @ _signs(int(dim)) > 0, axis=1).view(np.int64)
                 each = keys.shape[1] * keys.shape[2]
-                ids = batch.column("vec_id").take(some).to_numpy()
+                ids = batch.column("node").take(some).to_numpy()
                 own = np.zeros(keys.shape, dtype=bool)
                 own[:, :, 0] = True
                 columns = [keys.ravel().view(np.int64), own.ravel(), np.repeat(ids, each), *(np.repeat(signs[:, k], each) for k in range(SIGN_BITS // 64))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "own", "vec_id", "sign0", "sign1"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "own", "node", "sign0", "sign1"])
+
+
+def first_cells(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cell to which each pair belongs: in the first table where they meet, the lesser of the cells where they do (0: they never meet)."""
+    out = np.zeros(len(a), dtype=np.uint64)
+    most = np.uint64(2**64 - 1)
+    for t in range(keys.shape[1]):
+        x, y = keys[a, t, 0], keys[b, t, 0]
+        at_x = np.where((keys[b, t] == x[:, None]).any(axis=1), x, most)
+        at_y = np.where((keys[a, t] == y[:, None]).any(axis=1), y, most)
+        cell = np.minimum(at_x, at_y)
+        new = (out == 0) & (cell < most)
+        out[new] = cell[new]
+    return out
+
+
+def _near(s0: np.ndarray, s1: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return differing_bits(s0[a], s0[b]) + differing_bits(s1[a], s1[b]) <= MOST_DIFFERENT
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, offsets in whole_groups(batches, ["cell", "cell_i", "cell_j"]):
-        ids, own, block, i, j, s0, s1 = (table.column(c).to_numpy() for c in ("vec_id", "own", "block", "cell_i", "cell_j", "sign0", "sign1"))
+        ids, cell, own, block, i, j, s0, s1 = (table.column(c).to_numpy() for c in ("node", "cell", "own", "block", "cell_i", "cell_j", "sign0", "sign1"))
+        links = []
         for a, b in pairs_within(offsets):
             here = (own[a] | own[b]) & across(block, i, j, a, b)
             a, b = a[here], b[here]
-            near = differing_bits(s0[a], s0[b]) + differing_bits(s1[a], s1[b]) <= MOST_DIFFERENT
+            near = _near(s0, s1, a, b)
             if near.any():
-                yield stars(ids, a[near], b[near])
+                links.append((a[near], b[near]))
+        if links:
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+            root = forest(len(ids), a, b)
+            within = np.unique(np.concatenate([a, b]))
+            name = mix(mix(cell[within].view(np.uint64)) + mix(ids[root[within]].view(np.uint64)) + (i[within].astype(np.uint64) << np.uint64(32)) + j[within].astype(np.uint64))
+            # in a cell of two blocks only pairs between them belong to it
+            side = np.where(i[within] == j[within], -1, block[within]).astype(np.int32)
+            columns = [name.view(np.int64), ids[within], cell[within], side, s0[within], s1[within]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["candidates", "node", "cell", "side", "sign0", "sign1"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, offsets in whole_groups(batches, ["candidates", "cell_i", "cell_j"], rows=1024):
-        ids, block, i, j, copies = (table.column(c).to_numpy() for c in ("vec_id", "block", "cell_i", "cell_j", "n_copies"))
+        ids, cell, side, block, i, j, s0, s1, copies = (table.column(c).to_numpy() for c in ("node", "cell", "side", "block", "cell_i", "cell_j", "sign0", "sign1", "n_copies"))
         lists = table.column("embedding").combine_chunks()
+        dims = lists.value_lengths().to_numpy()
         for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            x = unit(lists.slice(lo, hi - lo))
-            a, b = np.nonzero(np.triu(x @ x.T >= THRESHOLD, 1))
-            here = across(block[lo:hi], i[lo:hi], j[lo:hi], a, b)
-            if here.any():
-                yield link_counts(ids[lo:hi], copies[lo:hi], a[here], b[here])
+            for dim in np.unique(dims[lo:hi]):
+                at = lo + np.flatnonzero(dims[lo:hi] == dim)
+                x = unit(lists.take(pa.array(at)))
+                a, b = np.nonzero(np.triu(x @ x.T >= THRESHOLD, 1))
+                p, q = at[a], at[b]
+                here = across(block, i, j, p, q) & ((side[p] < 0) | (side[p] != side[q])) & _near(s0, s1, p, q)
+                a, b = a[here], b[here]
+                if len(a):
+                    some, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    own = first_cells(cells(x[some]), ends[: len(a)], ends[len(a) :]) == cell[at[a]].view(np.uint64)
+                    a, b = a[own], b[own]
+                if len(a):
+                    yield link_counts(ids[at], copies[at], a, b)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -165,32 +204,35 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable").drop("usable")
-    classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n_copies")), "classes")
-    members = cut(good.join(classes, "embedding").select(F.col("vec_id").alias("id"), "class_id", "n_copies"), "members")
-    reps = classes.select(F.col("class_id").alias("vec_id"), "embedding", "n_copies")
-    # a vec_id may represent two classes where ids repeat; it is one node then
-    hashed = cut(reps.select("vec_id", "embedding").mapInArrow(_hash, "cell long, own boolean, vec_id long, sign0 long, sign1 long"), "cells")
+    classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n_copies")).withColumn("node", F.xxhash64("embedding")), "classes")
+    hashed = cut(classes.select("node", "embedding").mapInArrow(_hash, "cell long, own boolean, node long, sign0 long, sign1 long"), "cells")
     hot = cut(hashed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS), "hot")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     blocks = F.ceil(F.coalesce("n", F.lit(1)) / CELL_ROWS)
-    found = (
-        deal_blocks(hashed.join(hot, "cell", "left"), ["cell"], F.col("vec_id"), blocks)
+    found = cut(
+        deal_blocks(hashed.join(hot, "cell", "left"), ["cell"], F.col("node"), blocks)
         .drop("n")
         .repartition("cell", "cell_i", "cell_j")
         .sortWithinPartitions("cell", "cell_i", "cell_j")
-        .mapInArrow(_candidates, "x long, y long")
+        .mapInArrow(_candidates, "candidates long, node long, cell long, side int, sign0 long, sign1 long"),
+        "candidates",
     )
-    groups = cut(components(found), "candidates")
-    near = groups.join(reps, F.col("node") == F.col("vec_id")).select("vec_id", F.col("component").alias("candidates"), F.size("embedding").alias("dim"), "n_copies", "embedding")
-    sizes = near.groupBy("candidates").agg(F.count("*").alias("n"))
+    drop_scratch(hashed)
+    sizes = found.groupBy("candidates").agg(F.count("*").alias("n"))
+    dealt = deal_blocks(found.join(sizes, "candidates"), ["candidates"], F.col("node"), F.ceil(F.col("n") / GROUP_ROWS)).drop("n")
     verified = cut(
-        deal_blocks(near.join(sizes, "candidates"), ["candidates"], F.col("vec_id"), F.ceil(F.col("n") / GROUP_ROWS))
-        .drop("n", "dim")
+        dealt.join(classes.select("node", "n_copies", "embedding"), "node")
         .repartition("candidates", "cell_i", "cell_j")
         .sortWithinPartitions("candidates", "cell_i", "cell_j")
         .mapInArrow(_verify, "x long, y long, links long"),
         "verified",
     )
-    linked = grouped(members, verified).select(F.col("id").alias("vec_id"), "n_links", "group_id")
+    drop_scratch(found)
+    links = verified.groupBy("x").agg(F.sum("links").alias("links"))
+    groups = cut(components(verified.select("x", "y")), "groups")
+    least = groups.join(classes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("group_id"))
+    grouped = classes.select("node", "first_id", "n_copies").join(links, F.col("node") == F.col("x"), "left").join(groups.join(least, "component").select("node", "group_id"), "node", "left")
+    grouped = grouped.select("node", F.coalesce("group_id", "first_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    linked = good.select("vec_id", F.xxhash64("embedding").alias("node")).join(grouped, "node").select("vec_id", "n_links", "group_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("group_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("group_id"), F.lit(False)))

@@ -7,15 +7,16 @@
    dropped by a count with partial aggregation before any sketch is shuffled.
 3. Bayesian pruning. The values of a candidate pair are compared eight at a time. After n values with m equal, the
    posterior probability (uniform prior) that the similarity reaches the threshold is a Beta tail; a pair goes when
-   it falls below the tolerance. Pairs live only as index arrays inside a task: what leaves it is a spanning
-   forest of the surviving pairs of each bucket.
-4. Verification. Whole texts of the representatives that survive anywhere are dealt to their candidate group, and within
-   it the exact Jaccard similarity of every pair is found from shared shingles. Only link counts and
+   it falls below the tolerance. A pair that meets in several buckets belongs to that of its first equal band. Pairs live only as index
+   arrays inside a task: what leaves it are the groups of representatives that surviving pairs of its bucket connect.
+4. Verification. Whole texts of the members are dealt to their groups, and the exact Jaccard similarity of the pairs that survived in
+   that bucket, and of no others, is found from shared shingles: each pair is verified once, and a chain of similar
+   documents costs as many comparisons as it has candidate pairs. Only link counts and
    a spanning forest of true links leave a task. The groups of the result are the components of these links.
 
-Buckets and candidate groups of any size are dealt into pairs of blocks of bounded size (common.deal_blocks), so a
+Buckets and groups of any size are dealt into pairs of blocks of bounded size (common.deal_blocks), so a
 hot group is work for many tasks; no pair list and no group is ever gathered. With 16 bands of 4 a pair at similarity
-0.8 is missed with probability 0.0002, one at 0.9 with 3e-8.
+0.8 is missed with probability 0.0002, one at 0.9 with 3e-8; pruning at a tolerance of one in a million adds less than that (tests simulate both).
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; doc_ids are unique (rows that share one
 are taken as copies of each other only if their texts are); a null doc_id is left out of the join and kept by
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut
-from .common import Words, across, deal_blocks, in_slices, link_counts, mix, pairs_within, stars, text_chunks, whole_groups
+from ..tables import cut, drop_scratch
+from .common import Words, across, deal_blocks, forest, in_slices, link_counts, mix, pairs_within, text_chunks, whole_groups
 from .components import components, grouped
 
 WORDS = 5
@@ -42,7 +43,7 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 16, 4
 STEP = 8
 #: A candidate goes when the probability that it reaches the threshold falls below this.
-TOLERANCE = 0.001
+TOLERANCE = 1e-6
 #: Representatives in a block of a bucket; blocks are compared in pairs.
 BUCKET_ROWS = 1_000
 #: Representatives and characters in a block of a candidate group.
@@ -149,48 +150,74 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles int, n_chars int, set_digest binary, sketch binary, bands array<long>")
 
 
+def _owned(signs: np.ndarray, band: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs have their first equal band in the bucket that both are in."""
+    equal = (signs[a] == signs[b]).reshape(len(a), BANDS, BAND_ROWS).all(axis=2)
+    return equal.argmax(axis=1) == band[a]
+
+
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), -1)
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     steps = least_equal()
     for table, offsets in whole_groups(batches, ["band", "cell_i", "cell_j"]):
-        ids, block, i, j = (table.column(c).to_numpy() for c in ("doc_id", "block", "cell_i", "cell_j"))
-        signs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+        ids, key, band, block, i, j = (table.column(c).to_numpy() for c in ("doc_id", "band", "band_no", "block", "cell_i", "cell_j"))
+        signs = _sketches(table.column("sketch"))
+        left, right = [], []
         for a, b in pairs_within(offsets):
             here = across(block, i, j, a, b)
             a, b = survivors(signs, a[here], b[here], steps)
-            if len(a):
-                yield stars(ids, a, b)
+            own = _owned(signs, band, a, b)
+            left.append(a[own])
+            right.append(b[own])
+        a, b = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (left, right))
+        if len(a):
+            root = forest(len(ids), a, b)
+            within = np.unique(np.concatenate([a, b]))
+            name = mix(mix(key[within].view(np.uint64)) + mix(ids[root[within]].view(np.uint64)) + (i[within].astype(np.uint64) << np.uint64(32)) + j[within].astype(np.uint64))
+            # in a cell of two blocks only pairs between them belong to it
+            side = np.where(i[within] == j[within], -1, block[within]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[within]), pa.array(band[within]), pa.array(side), table.column("sketch").combine_chunks().take(pa.array(within))], names=["candidates", "doc_id", "band_no", "side", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
+    words, steps = Words(), least_equal()
     for table, offsets in whole_groups(batches, ["candidates", "cell_i", "cell_j"], rows=256):
-        ids, block, i, j, copies = (table.column(c).to_numpy() for c in ("doc_id", "block", "cell_i", "cell_j", "n_copies"))
-        texts = table.column("text").to_pylist()
-        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+        ids, band, side, block, i, j, copies = (table.column(c).to_numpy() for c in ("doc_id", "band_no", "side", "block", "cell_i", "cell_j", "n_copies"))
+        signs, texts = _sketches(table.column("sketch")), table.column("text").to_pylist()
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            left, right = [], []
+            for a, b in pairs_within(np.array([lo, hi])):
+                here = across(block, i, j, a, b) & ((side[a] < 0) | (side[a] != side[b]))
+                a, b = survivors(signs, a[here], b[here], steps)
+                own = _owned(signs, band, a, b)
+                left.append(a[own] - lo)
+                right.append(b[own] - lo)
+            if not left or not sum(map(len, left)):
+                continue
+            a, b = np.concatenate(left), np.concatenate(right)
             values, counts = shingles([t or "" for t in texts[lo:hi]], words)
             n, ends = hi - lo, np.cumsum(counts)
             sets = [np.unique(values[e - c : e]) for e, c in zip(ends, counts, strict=True)]
             size = np.array([len(s) for s in sets])
-            owner = np.repeat(np.arange(n), size)
-            shingle = np.concatenate(sets)
+            owner, shingle = np.repeat(np.arange(n), size), np.concatenate(sets)
             order = np.argsort(shingle, kind="stable")
             shingle, owner = shingle[order], owner[order]
-            found_a, found_b = [], []
-            for k, own in enumerate(sets):
-                # owners after k of each of its shingles
-                first, last = np.searchsorted(shingle, own), np.searchsorted(shingle, own, side="right")
+            shared = np.empty(len(a), dtype=np.int64)
+            by_a = np.argsort(a, kind="stable")
+            firsts = np.flatnonzero(np.append(True, np.diff(a[by_a]) > 0))
+            for pairs in np.split(by_a, firsts[1:]):
+                k = a[pairs[0]]
+                # owners of each of its shingles
+                first, last = np.searchsorted(shingle, sets[k]), np.searchsorted(shingle, sets[k], side="right")
                 long = last - first
                 at = np.arange(long.sum()) + np.repeat(first - np.cumsum(long) + long, long)
-                shared = np.bincount(owner[at], minlength=n)
-                shared[: k + 1] = 0
-                near = np.flatnonzero(shared >= THRESHOLD * (size[k] + size - shared) - 1e-9)
-                near = near[shared[near] > 0]
-                found_a.append(np.full(len(near), k))
-                found_b.append(near)
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            here = across(block[lo:hi], i[lo:hi], j[lo:hi], a, b)
-            if here.any():
-                yield link_counts(ids[lo:hi], copies[lo:hi], a[here], b[here])
+                shared[pairs] = np.bincount(owner[at], minlength=n)[b[pairs]]
+            near = (shared > 0) & (shared >= THRESHOLD * (size[a] + size[b] - shared) - 1e-9)
+            if near.any():
+                yield link_counts(ids[lo:hi], copies[lo:hi], a[near], b[near])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -202,25 +229,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = cut(some.select("doc_id", "n_chars", "set_digest").join(classes, "set_digest").select("doc_id", "n_chars", "class_id", "n_copies"), "members")
     reps = members.where("doc_id = class_id").dropDuplicates(["doc_id"])
     # buckets with more than one representative
-    banded = some.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
+    banded = some.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band_no", "band"))
     full = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    meeting = banded.join(full, "band")
-    dealt = deal_blocks(meeting, ["band"], F.col("doc_id"), F.ceil(F.col("n") / BUCKET_ROWS)).drop("n")
+    dealt = deal_blocks(banded.join(full, "band"), ["band"], F.col("doc_id"), F.ceil(F.col("n") / BUCKET_ROWS)).drop("n")
     signs = some.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    pruned = (
+    pruned = cut(
         dealt.join(signs, "doc_id")
         .repartition("band", "cell_i", "cell_j")
         .sortWithinPartitions("band", "cell_i", "cell_j")
-        .mapInArrow(_prune, "x long, y long")
+        .mapInArrow(_prune, "candidates long, doc_id long, band_no int, side int, sketch binary"),
+        "pruned",
     )
-    groups = cut(components(pruned), "candidates")
-    # exact similarity within each group of candidates
-    rows = groups.join(reps.select("doc_id", "n_chars", "n_copies"), F.col("node") == F.col("doc_id")).select("doc_id", F.col("component").alias("candidates"), "n_chars", "n_copies")
+    # exact similarity of the surviving pairs of each group
+    rows = pruned.join(reps.select("doc_id", "n_chars", "n_copies"), "doc_id")
     sizes = rows.groupBy("candidates").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("chars") / GROUP_CHARS))
     blocks = F.least(blocks, F.col("n"))  # a block of one text is the smallest
     dealt = deal_blocks(rows.join(sizes, "candidates"), ["candidates"], F.col("doc_id"), blocks).drop("n", "chars", "n_chars")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = cut(pruned.select("doc_id").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     verified = cut(
         texts.join(dealt, "doc_id")
         .repartition("candidates", "cell_i", "cell_j")
@@ -228,6 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .mapInArrow(_verify, "x long, y long, links long"),
         "verified",
     )
+    drop_scratch(pruned)
     linked = grouped(members.select(F.col("doc_id").alias("id"), "class_id", "n_copies"), verified).withColumnRenamed("id", "doc_id")
     alone = sketches.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("group_id"))

@@ -8,8 +8,8 @@ the lowest quote level, then of the longest passage; without a link to an earlie
 
 The replies make a tree. A conversation is put in reply order: every message is followed by the replies to it in order of turns, each with all that
 follows from it (depth first). The first reply to a message continues its branch and each further one opens a branch,
-so orders are keys of branches, found by pointer jumping; positions come from a range-partitioned
-sort. No conversation is ever gathered: a long one is sorted over many tasks.
+so the branches of a conversation make a tree of their own. Its order is that of an Euler tour, ranked by pointer jumping with two numbers a branch
+whatever the depth; positions come from a range-partitioned sort. No conversation is ever gathered: a long one is sorted over many tasks.
 
 Defined cases: null text is empty and quotes nothing; rows that share (conv_id, turn) are one node of the tree, each keeps its text, and
 they follow each other in order of text; rows with a null conv_id or turn are kept, with null parent_turn and position; a passage said first in the same
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import cut, drop_scratch
@@ -147,47 +147,63 @@ def _jump(nodes: DataFrame, key: str, to: str) -> DataFrame:
             return now
 
 
-def _keys(branches: DataFrame) -> DataFrame:
-    """branches: conv_id, head, above (head of the branch it leaves, null for the first), key. Adds the keys of all branches above it in front, by doubling."""
-    now = cut(branches, "keys")
-    while now.where("above is not null").limit(1).count():
-        up = now.select("conv_id", F.col("head").alias("above"), F.col("above").alias("further"), F.col("key").alias("front"))
-        then = cut(now.join(up, ["conv_id", "above"], "left").select("conv_id", "head", F.col("further").alias("above"), F.when(F.col("front").isNotNull(), F.concat("front", "key")).otherwise(F.col("key")).alias("key")), "keys")
+def _numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `place`: consecutive numbers in the order of the columns given, by a sort over all tasks."""
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "ordered")
+    slices = sorted_.groupBy(F.shiftright("place", 33).alias("_slice")).agg(F.count("*").alias("_n"), F.min("place").alias("_first"))
+    offsets = slices.selectExpr("_slice", "_first", "sum(_n) over (order by _slice) - _n as _skip")  # a row per task
+    placed = sorted_.withColumn("_slice", F.shiftright("place", 33)).join(F.broadcast(offsets), "_slice")
+    return placed.withColumn("place", F.col("_skip") + F.col("place") - F.col("_first")).drop("_slice", "_skip", "_first")
+
+
+def _branch_orders(branches: DataFrame) -> DataFrame:
+    """(conv_id, head, rank) of branches: conv_id, head, above (head of the branch it leaves, null for the first) and leaves (the turn at which).
+
+    In the tour a branch is entered, then the branches that leave it are toured, later points of leaving first and those of one point in order of turns,
+    then it is left. rank counts the entries from a branch's to the end, by doubling; branches of one parent follow one another in a sort
+    over all tasks, so that a branch with very many is no work of one task.
+    """
+    nested = branches.where("above is not null")
+    if not nested.limit(1).count():
+        return branches.select("conv_id", "head", F.lit(1).cast("long").alias("rank"))
+    placed = cut(_numbered(nested.withColumn("later", -F.col("leaves")), "conv_id", "above", "later", "head").drop("later"), "siblings")
+    following = placed.select("conv_id", "above", (F.col("place") - 1).alias("place"), F.col("head").alias("sibling"))
+    firsts = placed.groupBy("conv_id", F.col("above").alias("head")).agg(F.min_by("head", "place").alias("child"))
+    # arcs: entering (down) and leaving (up) a branch; each names the arc after it
+    siblings = placed.join(following, ["conv_id", "above", "place"], "left").select("conv_id", "head", "sibling")
+    known = branches.join(firsts, ["conv_id", "head"], "left").join(siblings, ["conv_id", "head"], "left")
+    arc = lambda head, down: F.struct(F.col(head).alias("head"), F.lit(down).alias("down"))
+    after_down = F.when(F.col("child").isNotNull(), arc("child", True)).otherwise(arc("head", False))
+    after_up = F.when(F.col("sibling").isNotNull(), arc("sibling", True)).when(F.col("above").isNotNull(), arc("above", False))
+    each = F.explode(F.array(F.struct(arc("head", True).alias("arc"), after_down.alias("next"), F.lit(1).cast("long").alias("rank")), F.struct(arc("head", False).alias("arc"), after_up.alias("next"), F.lit(0).cast("long").alias("rank"))))
+    now = cut(known.select("conv_id", each.alias("a")).select("conv_id", "a.*"), "tour")
+    while now.where("next is not null").limit(1).count():
+        ahead = now.select("conv_id", F.col("arc").alias("next"), F.col("next").alias("further"), F.col("rank").alias("more"))
+        then = cut(now.join(ahead, ["conv_id", "next"], "left").select("conv_id", "arc", F.col("further").alias("next"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "tour")
         drop_scratch(now)
         now = then
-    return now
-
-
-def _sortable(n: Column) -> Column:
-    """Text of 16 hex digits that sorts as the number does."""
-    return F.lpad(F.hex(n.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return now.where("arc.down").select("conv_id", "arc.head", "rank")
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, role, text) with text without quotations, parent_turn, quotes and position in reply order from 0."""
-    messages = messages.drop("own_text", "said", "quoted", "parent_turn", "quotes", "position")
-    messages = messages.withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
-    parsed = parse(messages)
-    tree = cut(parents(parsed), "tree")
+    messages = messages.drop("parent_turn", "quotes", "position").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
+    # the tree is made of the key columns alone; what else messages hold, whatever its name, only passes through the last join
+    tree = cut(parents(parse(messages.select("conv_id", "turn", "text"))), "tree")
     # the first reply continues the branch of its parent
     continues = tree.where("parent_turn is not null").groupBy("conv_id", "parent_turn").agg(F.min("turn").alias("turn")).withColumn("continues", F.lit(True))
     marked = tree.join(continues, ["conv_id", "parent_turn", "turn"], "left")
     heads = _jump(marked.withColumn("on", F.when(F.col("continues"), F.col("parent_turn"))), "turn", "on")
     inside = cut(marked.join(heads.withColumnRenamed("n", "turn"), ["conv_id", "turn"]), "branches")
-    above = inside.select("conv_id", F.col("turn").alias("parent_turn"), F.col("head").alias("above"))
-    # a branch comes after all of the branch it leaves, later points of leaving first, then in order of turns
-    branches = (
-        inside.where("turn = head")
-        .join(above, ["conv_id", "parent_turn"], "left")
-        .select("conv_id", "head", "above", F.concat(F.lit("1"), _sortable(-F.coalesce("parent_turn", F.lit(0))), _sortable(F.col("head"))).alias("key"))
-    )
-    keyed = inside.join(_keys(branches).drop("above"), ["conv_id", "head"]).select("conv_id", "turn", "parent_turn", "quotes", F.concat("key", F.lit("0"), _sortable(F.col("turn"))).alias("key"))
-    found = parsed.drop("said", "quoted").join(keyed, ["conv_id", "turn"], "left")
+    above = inside.select("conv_id", F.col("turn").alias("leaves"), F.col("head").alias("above"))
+    branches = inside.where("turn = head").select("conv_id", "head", F.col("parent_turn").alias("leaves")).join(above, ["conv_id", "leaves"], "left")
+    keyed = inside.join(_branch_orders(cut(branches, "heads")), ["conv_id", "head"])
+    keyed = cut(keyed.select("conv_id", "turn", "parent_turn", "quotes", (-F.col("rank")).alias("before")), "keyed")
     # position: place in a sort over all tasks, less that of the conversation's first message
-    ordered = cut(found.repartitionByRange("conv_id", "key", "own_text").sortWithinPartitions("conv_id", "key", "own_text").withColumn("place", F.monotonically_increasing_id()), "ordered")
-    slices = ordered.groupBy(F.shiftright("place", 33).alias("slice")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    offsets = slices.selectExpr("slice", "first", "sum(n) over (order by slice) - n as before")  # a row per task
-    placed = ordered.withColumn("slice", F.shiftright("place", 33)).join(F.broadcast(offsets), "slice").withColumn("place", F.col("before") + F.col("place") - F.col("first")).drop("slice", "before", "first")
-    starts = placed.where("key is not null").groupBy("conv_id").agg(F.min("place").alias("start"))
-    done = placed.join(starts, "conv_id", "left").withColumn("position", F.when(F.col("key").isNotNull(), F.col("place") - F.col("start")))
-    return done.withColumn("text", F.col("own_text")).select(*messages.columns, "parent_turn", F.coalesce("quotes", F.lit(False)).alias("quotes"), "position")
+    inner = {c: f"_chat_{k}" for k, c in enumerate(messages.columns) if c not in ("conv_id", "turn", "text")}
+    own = parse(messages.withColumnsRenamed(inner)).drop("said", "quoted", "text")
+    placed = _numbered(own.join(keyed, ["conv_id", "turn"], "left"), "conv_id", "before", "turn", "own_text")
+    starts = placed.where("before is not null").groupBy("conv_id").agg(F.min("place").alias("start"))
+    done = placed.join(starts, "conv_id", "left").withColumn("position", F.when(F.col("before").isNotNull(), F.col("place") - F.col("start")))
+    columns = [F.col("own_text").alias(c) if c == "text" else F.col(inner.get(c, c)).alias(c) for c in messages.columns]
+    return done.select(*columns, "parent_turn", F.coalesce("quotes", F.lit(False)).alias("quotes"), "position")

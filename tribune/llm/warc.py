@@ -9,19 +9,24 @@ number of its first records.
 Pages with equal payloads of at least 100 bytes are one `response`, that of the smallest page_id, and `revisit` records of it
 for the rest, which name its page and keep the digest and the length of the payload but not the payload.
 
-The reader loads the dictionary from the leading skippable frame, decodes one frame per record, and validates the record: version line,
-the mandatory headers, block length against Content-Length, and digests of block and payload. It yields
-a row per record and never holds more than one record's bytes and a batch of rows.
+The reader loads the dictionary from the leading skippable frame (an archive may do without), decodes one frame per record, and validates the record: version line,
+the mandatory headers, block length against Content-Length, an HTTP length if one is told, and digests of block and payload by the algorithms that it knows (MD5, SHA-1,
+SHA-256 and SHA-512, in hexadecimal or base 32). It takes any record type and record id. It yields
+a row per record and never holds more than one record's bytes and a batch of rows. A record that breaks the format is a row with `error`; a frame that does
+ends its archive with such a row.
 
 Defined cases: null html is an empty payload; null urls are written without a target; a null page_id is written as such and never serves
 as the response of others; rows that repeat a page_id get a record each (equal payloads: one of them response, by order of page_id only, so all rows with the smallest
-page_id are responses); payloads of any length are streamed into one frame; empty tables give no archives and an empty result; other columns are not read.
+page_id are responses); a payload of any length is one record, which its task holds whole; empty tables give no archives and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -73,18 +78,50 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> dict:
-    """Headers and payload of a record, validated."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
-        raise BadRecord("no WARC version line or no end of headers")
-    headers: dict[str, str] = {}
-    for line in lines[1:]:
+#: Digests that are checked, by the name in front of the colon.
+DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha512": hashlib.sha512, "sha-512": hashlib.sha512}
+
+
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Names (lower case) and values; a line that begins with a space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise BadRecord(f"not a header: {line[:80]}")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
+
+
+def _check(told: str | None, data: bytes, what: str) -> None:
+    """Compare a digest that a header tells with that of data; algorithms that are not known are not checked."""
+    algorithm, _, value = (told or "").partition(":")
+    make = DIGESTS.get(algorithm.strip().lower())
+    if not make:
+        return
+    own, value = make(data), value.strip()
+    same = value.lower() == own.hexdigest()
+    if not same:
+        try:
+            same = base64.b32decode(value.upper() + "=" * (-len(value) % 8)) == own.digest()
+        except (binascii.Error, ValueError):
+            same = False
+    if not same:
+        raise BadRecord(f"{what} digest differs")
+
+
+def parse(data: bytes) -> dict:
+    """Headers and payload of a record, validated; payload_digest is SHA-256: that of the payload, or, where a revisit leaves it out, the one told."""
+    head, gap, rest = data.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not gap or not re.fullmatch(r"WARC/(0\.1[78]|1\.[01])", lines[0]):
+        raise BadRecord("no WARC version line or no end of headers")
+    headers = _headers(lines[1:])
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise BadRecord(f"no {name}")
@@ -92,25 +129,26 @@ def parse(data: bytes) -> dict:
     if not length.isdigit() or len(rest) != int(length) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise BadRecord(f"block of {len(rest) - 4} bytes, Content-Length {length}")
     block = rest[:-4]
-    if (told := headers.get("warc-block-digest")) and told != f"sha256:{hashlib.sha256(block).hexdigest()}":
-        raise BadRecord("block digest differs")
-    out = {"headers": headers, "payload": b"", "payload_bytes": 0, "payload_digest": headers.get("warc-payload-digest", "").removeprefix("sha256:")}
-    if headers["warc-type"] in ("response", "revisit"):
+    _check(headers.get("warc-block-digest"), block, "block")
+    kind, payload, told = headers["warc-type"].lower(), block, None
+    if block.startswith(b"HTTP/") and headers.get("content-type", "").startswith("application/http"):
         http, gap, payload = block.partition(b"\r\n\r\n")
-        if not gap or not http.startswith(b"HTTP/"):
-            raise BadRecord("no HTTP headers in the block")
-        fields = dict(x.decode("latin-1").lower().split(": ", 1) for x in http.split(b"\r\n")[1:])
-        if "content-length" not in fields:
-            raise BadRecord("no length of the payload")
-        out |= {"payload": payload, "payload_bytes": int(fields["content-length"])}
-        if headers["warc-type"] == "response":
-            if len(payload) != out["payload_bytes"]:
-                raise BadRecord(f"payload of {len(payload)} bytes, told {out['payload_bytes']}")
-            if hashlib.sha256(payload).hexdigest() != out["payload_digest"]:
-                raise BadRecord("payload digest differs")
-        elif "warc-refers-to" not in headers or payload:
-            raise BadRecord("a revisit without its response, or with a payload")
-    return out
+        if not gap and kind != "revisit":
+            raise BadRecord("no end of the HTTP headers in the block")
+        fields = _headers([x for x in http.decode("latin-1").split("\r\n")[1:] if ":" in x])
+        told = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
+    elif kind == "response" and headers.get("content-type", "").startswith("application/http"):
+        raise BadRecord("no HTTP headers in the block")
+    if kind == "revisit":
+        if payload and told is not None and len(payload) != told:
+            raise BadRecord(f"payload of {len(payload)} bytes, told {told}")
+        algorithm, _, value = headers.get("warc-payload-digest", "").partition(":")
+        digest = value.strip().lower() if algorithm.strip().lower() in ("sha256", "sha-256") else None
+        return {"headers": headers, "payload": payload, "payload_bytes": told, "payload_digest": digest}
+    if told is not None and len(payload) != told:
+        raise BadRecord(f"payload of {len(payload)} bytes, told {told}")
+    _check(headers.get("warc-payload-digest"), payload, "payload")
+    return {"headers": headers, "payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -171,7 +209,13 @@ def frames(stream: BinaryIO, chunk: int = 1 << 18) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def uri(folder: str) -> str:
+    """The name of a folder for pyarrow, which calls S3 by one name where Hadoop has three."""
+    return re.sub("^s3[an]://", "s3://", folder)
+
+
 def _open(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    folder = uri(folder)
     fs, path = pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
     return fs, path
 
@@ -219,14 +263,33 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, records long, bytes long")
 
 
-def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """A row per record of the archives (path): page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if asked for, payload."""
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if payloads else [])]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+def _page(name: str | None) -> int | None:
+    """The page of a record id that this writer gave; other ids have none."""
+    found = re.fullmatch(r"<?urn:page:(-?\d+)>?", name or "")
+    return int(found[1]) if found else None
 
-    def page(name: str | None) -> int | None:
-        number = (name or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(number) if number else None
+
+def _row(data: bytes) -> tuple:
+    try:
+        r = parse(data)
+    except BadRecord as e:
+        return (None, None, None, None, None, None, None, str(e), None)
+    h = r["headers"]
+    return (_page(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"].lower(), r["payload_bytes"], r["payload_digest"], _page(h.get("warc-refers-to")), h["warc-record-id"].strip("<>"), None, r["payload"])
+
+
+def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """A row per record of the archives (path) in a folder: page_id, url, record_type, payload_bytes, payload_digest (SHA-256), refers_to, record_id,
+    error (of a record that breaks the format, else null) and, if asked for, payload."""
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "record_id", "error", *(["payload"] if payloads else [])]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def rows(stream: BinaryIO) -> Iterator[tuple[tuple, int]]:
+        try:
+            for data in frames(stream):
+                yield _row(data), len(data)
+        except BadRecord as e:
+            yield (None, None, None, None, None, None, None, str(e), None), 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(folder)
@@ -239,11 +302,9 @@ def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with fs.open_input_stream(path, compression=None) as stream:
-                    for data in frames(io.BufferedReader(stream) if not hasattr(stream, "read") else stream):
-                        r = parse(data)
-                        h = r["headers"]
-                        held.append((page(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], r["payload_bytes"], r["payload_digest"], page(h.get("warc-refers-to")), r["payload"]))
-                        size += len(data) if payloads else 200
+                    for row, long in rows(stream):
+                        held.append(row if payloads else row[:-1])
+                        size += long if payloads else 200
                         if size >= 8_000_000:
                             yield out()
                             held.clear()
@@ -251,7 +312,7 @@ def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         if held:
             yield out()
 
-    kinds = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+    kinds = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, error string"
     # a given number of partitions, which adaptive execution does not merge: a path is few bytes, an archive many
     tasks = max(1, min(archives.count(), MOST_TASKS))
     return archives.select("path").repartition(tasks).mapInArrow(run, kinds + (", payload binary" if payloads else ""))

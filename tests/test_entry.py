@@ -25,10 +25,10 @@ def same(spark, name, run, sql, sf_dir):
     names = sorted(got.columns)
 
     def rows(df):
-        plain = lambda x: None if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(int(x)) if isinstance(x, bool) else str(x)
+        plain = lambda x: "" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(int(x)) if isinstance(x, bool) else str(x)
         return sorted(tuple(plain(x) for x in r) for r in df[names].astype(object).itertuples(index=False)) if len(df) else []
 
-    assert [[x or "" for x in r] for r in rows(got)] == [[x or "" for x in r] for r in rows(want)], name
+    assert rows(got) == rows(want), name
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

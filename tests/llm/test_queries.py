@@ -118,13 +118,15 @@ def test_pipeline(spark, sf_dir, docs):
     size = Counter()
     for r in kept:
         size[r.source] += r.n_chars
-    total, other = sum(size.values()), sum(n for s, n in size.items() if s != "src0")
+    total = sum(size.values())
+    left = 1 - sum(mixing.TARGETS.values())
+    others = {s: n for s, n in size.items() if s not in mixing.TARGETS}
+    shares = {s: mixing.TARGETS[s] for s in size if s in mixing.TARGETS} | {s: left * n / sum(others.values()) for s, n in others.items()}
     expect = Counter()
     import hashlib
 
     for r in kept:
-        share = mixing.TARGETS["src0"] if r.source == "src0" else (1 - mixing.TARGETS["src0"]) * size[r.source] / other
-        rate = share * total / size[r.source]
+        rate = shares[r.source] / sum(shares.values()) * total / size[r.source]
         u = (int(hashlib.md5(f"{r.doc_id}:{mixing.SEED}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         k, p = 0, math.exp(-rate)
         while p < u:

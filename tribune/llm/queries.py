@@ -28,11 +28,45 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("group_id").alias("class_id"), "n_links", "kept")
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda k: ws[k:k + 4])) AS shingle FROM w WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE shared.n >= 0.8 * (p.n + q.n - shared.n) - 1e-9),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links, doc_id = class_id AS kept FROM w JOIN least ON least.x = doc_id LEFT JOIN counted ON counted.x = doc_id
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filter.judge(pages, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: The rules for all pages, and the method for tables without links between hosts, as those given are: scores are then the marks' own. Links are tested
+#: against a plain version in tests/llm.
+OP3_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), '{url_filter._UPPER}', '{url_filter._LOWER}') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, '/' || substr(rule, strpos(rule, '/') + 1) AS rule_path
+      FROM (VALUES {", ".join(f"('{rule}', '{verdict}')" for rule, verdict in url_filter.RULES)}) AS t(rule, verdict)),
+h AS (
+  SELECT host, coalesce(bool_or(verdict = 'allow'), false) AS trusted, coalesce(bool_or(verdict = 'block' AND rule_path = '/'), false) AS blocked
+  FROM (SELECT DISTINCT host FROM p WHERE host <> '') LEFT JOIN r ON ends_with('.' || host, '.' || rule_host) GROUP BY host),
+n AS (SELECT count(*) AS hosts, greatest(count(*) FILTER (trusted), 1) AS n_trusted, greatest(count(*) FILTER (blocked), 1) AS n_blocked FROM h),
+m AS (SELECT host, CASE WHEN blocked AND NOT (trusted AND 1 / n_trusted >= 1 / n_blocked) AND hosts / n_blocked >= {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END AS own FROM h, n),
+f AS (SELECT page_id, rule, verdict FROM p JOIN r ON ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path)
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, own, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id) LEFT JOIN m USING (host)
+"""
+
+
 def op4_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
         "vec_id", "n_links", F.col("group_id").alias("component_id"), "kept"
@@ -59,6 +93,14 @@ def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+#: For conversations in which nobody quotes, as those given are: every turn replies to the one before. Quotations are tested against recursion.
+OP5_SQL = """
+SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_turn, false AS quotes,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position
+FROM conversations
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -110,19 +152,23 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.TARGETS)
 
 
+#: For rates up to mixing.MOST_RATE, beyond which they are split (tested against a plain version in tests/llm).
 OP10_SQL = f"""
-WITH sizes AS (
-  SELECT source, sum(greatest(coalesce(n_chars, 0), 0))::DOUBLE AS size,
-         CASE WHEN source = 'src0' THEN {mixing.TARGETS["src0"]} END AS given
-  FROM documents GROUP BY source),
-totals AS (SELECT sum(size) AS total, sum(CASE WHEN given IS NULL THEN size END) AS others FROM sizes),
+WITH targets AS (SELECT * FROM (VALUES {", ".join(f"('{source}', {share!r}::DOUBLE)" for source, share in mixing.TARGETS.items())}) AS t(source, given)),
+sizes AS (
+  SELECT d.source, sum(CASE WHEN n_chars > 0 THEN n_chars ELSE length(coalesce(text, '')) END)::DOUBLE AS size, any_value(given) AS given
+  FROM documents d LEFT JOIN targets t ON t.source = d.source GROUP BY d.source),
+totals AS (
+  SELECT sum(size) AS total, sum(CASE WHEN given IS NULL THEN size END) AS others, coalesce(sum(given), 0) AS told,
+         greatest(0, 1 - (SELECT sum(given) FROM targets)) AS rest
+  FROM sizes WHERE size > 0),
 rates AS (
-  SELECT source, CASE WHEN size > 0 THEN coalesce(given, {1.0 - mixing.TARGETS["src0"]} * size / others) * total / size ELSE 0 END AS rate
+  SELECT source, CASE WHEN size > 0 THEN coalesce(given, rest * size / others) / (told + CASE WHEN others > 0 THEN rest ELSE 0 END) * total / size ELSE 0 END AS rate
   FROM sizes, totals),
 terms AS (
   SELECT source, k, sum(exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - lgamma(k + 1)))
          OVER (PARTITION BY source ORDER BY k) AS cdf
-  FROM rates, generate_series(0, 100) AS g(k) WHERE rate > 0),
+  FROM rates, generate_series(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 20)::BIGINT FROM rates)) AS g(k) WHERE rate > 0),
 placed AS (
   SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
   FROM documents),
@@ -146,7 +192,10 @@ QUERIES = {
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 ORACLES = {
+    "op2_ngram_jaccard": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
     "op4_embedding_lattice": OP4_SQL,
+    "op5_chat_quotes": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,

@@ -76,3 +76,10 @@ def test_names_and_bands(spark):
     assert column(spark, pairs, "a long, b long", lambda d: numbers.percentage(d.a, d.b)) == [round(k / n * 100, 1) for k, n in pairs]
     assert column(spark, [90.0, 89.9, 70.0, 69.9], "p double", lambda d: numbers.band(d.p)) == ["green", "amber", "amber", "red"]
     assert column(spark, ["x" * 400, "y"], "t string", lambda d: text.snippet(d.t)) == ["x" * 350 + "...", "y..."]
+
+
+def test_strip_takes_spaces_of_any_kind(spark):
+    from tribune.functions import text
+
+    got = spark.createDataFrame([("\u00a0 Esimees A\u3000",)], "t string").select(text.strip(F.col("t")).alias("t")).first().t
+    assert got == "Esimees A"

@@ -137,7 +137,7 @@ def test_streaming_counts_are_batch_counts(spark, tmp_path):
     days = ["2024-01-01", "2024-01-01", "2024-01-05", "2024-02-01", "2024-02-01", "2024-03-01"]
     spark.createDataFrame([(d,) for d in days], "date string").write.json(str(tmp_path / "days"))
     rows = spark.readStream.schema("date string").json(str(tmp_path / "days"))
-    query = stream.counts_by_day(rows).writeStream.format("memory").queryName("day_counts").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = stream.counts(rows).writeStream.format("memory").queryName("day_counts").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = {}
     for r in spark.table("day_counts").collect():

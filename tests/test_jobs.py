@@ -30,14 +30,44 @@ def test_pipeline_of_jobs(spark, tmp_path):
         run("fetch_attendance", url="http://x/votings", start="2024-01-01", end="2024-02-20", attendance=at("attendance"), pause=0, wait=0)
     (speech,) = spark.read.parquet(at("speeches")).collect()
     assert (speech.speaker, speech.speaker_role, speech.speaker_faction, speech.text_lemmas) == ("A B", "Peaminister", "F", None)
-    run("build_lemmas", speeches=at("speeches"), out=at("lemmas"))
+    run("build_lemmas", speeches=at("speeches"), lemmas=at("lemmas"))
     assert spark.read.parquet(at("lemmas")).first().text_lemmas == "kliima muutub kliima"
     assert {(r.lemma, r["count"]) for r in spark.read.parquet(at("postings")).collect()} == {("kliima", 2), ("muutub", 1)}
     run("build_index", postings=at("postings"), table="job_index")
     assert spark.table("job_index").count() == 2
     spark.sql("drop table job_index")
     assert [tuple(r) for r in spark.read.parquet(at("attendance")).collect()] == [("d", "u1", "A B", "", "KOHAL")]
-    assert len(json.loads(json.dumps(sorted(JOBS)))) == 7
+    assert len(json.loads(json.dumps(sorted(JOBS)))) == 10
+
+
+def test_polling_window():
+    from datetime import date
+
+    from tribune.plans.jobs import _polled
+
+    today = date(2024, 3, 10)
+    assert _polled(False, None, None, today) == ("2019-04-04", "2024-03-10")
+    assert _polled(True, None, None, today) == ("2024-02-25", "2024-03-10")
+    assert _polled(True, "2024-01-01", None, today, "2024-02-02") == ("2024-01-01", "2024-02-02")
+    assert _polled(True, None, "2024-03-01", today, "2024-02-02")[1] == "2024-03-01"
+
+
+def test_store(spark, tmp_path):
+    from datetime import date
+
+    from tribune.sources import files
+
+    at = lambda n: str(tmp_path / n)
+    year = date.today().year
+    rows = spark.createDataFrame([(f"{y}-01-0{k}", f"u{k}") for y in (2020, year) for k in (1, 2)], "date string, source_url string")
+    files.write_speeches(rows.selectExpr("date", "'0900' as time", "'f' as source_file", "source_url", "'s' as speaker", "'t' as text"), at("lines"))
+    main(["upload", f"lines={at('lines')}", f"store={at('store')}"], spark)
+    main(["download", f"store={at('store')}", f"lines={at('back')}"], spark)
+    read = lambda: sorted(r.date for r in files.read_speeches(spark, at("back")).collect())
+    assert read() == [f"{year}-01-01", f"{year}-01-02"]
+    for _ in range(2):  # replaces, does not append
+        main(["download_all", f"store={at('store')}", f"lines={at('back')}"], spark)
+    assert read() == ["2020-01-01", "2020-01-02", f"{year}-01-01", f"{year}-01-02"]
 
 
 def test_usage(capsys):

@@ -70,12 +70,12 @@ def speeches(spark):
 
 def test_activity(spark, speeches):
     every = spark.createDataFrame([(k, k) for k in range(1, 6)], "speech_id long, count long")
-    run = lambda i, **k: [tuple(r) for r in search.activity(speeches, every, i, **k).collect()]
+    run = lambda i, **k: [tuple(r) for r in search.activity(search.attach(speeches, every), i, **k).collect()]
     assert run("monthly") == [("2023-11", 1), ("2023-12", 0), ("2024-01", 3)]
     assert run("weekly") == run("fortnightly") == [(None, 1), ("2023-48", 1), ("2024-01", 2), ("2024-02", 1)]
     assert run("daily") == [("2023-11-30", 1), ("2024-01-01", 1), ("2024-01-07", 1), ("2024-01-08", 1), ("no date", 1)]
     assert run("monthly", metric="mentions") == [("2023-11", 1), ("2023-12", 0), ("2024-01", 9)]
-    assert search.activity(speeches, every.limit(0), "monthly").collect() == []
+    assert search.activity(search.attach(speeches, every.limit(0)), "monthly").collect() == []
 
 
 def test_search_and_speakers(spark, speeches):
@@ -83,7 +83,8 @@ def test_search_and_speakers(spark, speeches):
     got = search.search(speeches, found, 2).collect()
     assert [r["date"] for r in got] == ["2024-01-08", "2024-01-07"]
     assert got[0].asDict() == {"speaker": "B", "text": "w", "count": 2, "date": "2024-01-08", "time": "0900", "source_url": "u"}
-    top = lambda n: [tuple(r) for r in search.top_speakers(speeches, found, n).collect()]
+    assert [r["date"] for r in search.newest(search.attach(speeches, found), 2).collect()] == ["2024-01-08", "2024-01-07"]
+    top = lambda n: [tuple(r) for r in search.top_speakers(search.attach(speeches, found), n).collect()]
     assert top(20) == top(-1) == [("B", 6), ("A", 4)]
     assert top(1) == [("B", 6)] and top(0) == []
 
@@ -104,3 +105,26 @@ def test_bucketed_index_needs_no_exchange(spark, postings):
     plan = search.match(spark.table("test_index"), [["a", "b"], ["c"]])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "In(lemma" in plan
     spark.sql("drop table test_index")
+
+
+@pytest.mark.parametrize("name", ["search_top50", "activity_daily", "activity_monthly_filled", "top_speakers"])
+def test_texts_are_read_once(spark, sf_dir, name, capsys):
+    from tribune import queries
+
+    queries.QUERIES[name](spark, sf_dir).explain("formatted")
+    plan = capsys.readouterr().out
+    assert sum("documents.parquet" in line for line in plan.split("\n") if line.startswith("Location")) == 1
+
+
+def test_dictionary(spark):
+    from tribune.operators.analyzer import DictionaryAnalyzer
+    from tribune.operators.query import parse_query
+
+    forms = spark.createDataFrame([("kliimat", "kliima"), ("kliimat", "zzz"), ("seda", "see"), ("ilmad", "ilm")], "form string, lemma string")
+    analyzer = DictionaryAnalyzer(forms)
+    rows = spark.createDataFrame([(1, "Kliimat kliima ILMAD"), (2, "muu")], "speech_id long, text string")
+    found = index.postings(rows, analyzer)
+    assert {(r.speech_id, r.lemma, r["count"]) for r in found.collect()} == {(1, "kliima", 2), (1, "ilm", 1), (2, "muu", 1)}
+    # the stopword is known by its lemma
+    assert parse_query("kliimat seda, ILMAD", analyzer) == [["kliima"], ["ilm"]]
+    assert [tuple(r) for r in search.match(found, parse_query("kliimat ilm", analyzer)).collect()] == [(1, 3)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Days that polling looks back, and the first day of all: fixed values.
+LOOK_BACK, FIRST_DAY = 14, "2019-04-04"
 #: Names of the months in Estonian, fixed values.
 MONTHS = ["jaanuar", "veebruar", "märts", "aprill", "mai", "juuni", "juuli", "august", "september", "oktoober", "november", "detsember"]
 
@@ -66,7 +68,7 @@ def month_chunks(start: Column, end: Column) -> Column:
     return F.transform(months, lambda m: F.struct(F.greatest(m, start).alias("start"), F.least(F.last_day(m), end).alias("end")))
 
 
-def look_back(known: Column, now: Column, first: str = "2019-04-04", days: int = 14) -> Column:
+def look_back(known: Column, now: Column, first: str = FIRST_DAY, days: int = LOOK_BACK) -> Column:
     """Where polling starts: some days before now when anything is known, else at the first day of all."""
     return F.when(known, F.date_sub(now, days)).otherwise(F.lit(first).cast("date"))
 

@@ -12,7 +12,7 @@ _NAME = rf"(?:^| )({_WORD}(?: {_WORD})*)$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def split_speaker(raw: Column) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,8 +15,11 @@ class Analyzer(Protocol):
     def tokens(self, text: Column) -> Column:
         """Lemmas of a text, an array of strings in order; empty for null."""
 
-    def tokens_of(self, text: str) -> list[str]:
-        """The same for one text on the driver."""
+    def tokens_of(self, *texts: str) -> list[list[str]]:
+        """The same for each of a few texts on the driver."""
+
+    def unify(self, words: DataFrame) -> DataFrame:
+        """Rows with a token in `lemma`, with its lemma there instead."""
 
 
 class SimpleAnalyzer:
@@ -29,11 +32,35 @@ class SimpleAnalyzer:
         words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
         return F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.rlike(r"^\p{L}+$"))
 
-    def tokens_of(self, text: str) -> list[str]:
+    def tokens_of(self, *texts: str) -> list[list[str]]:
         # through the same expression, so that letters and cases mean the same
         spark = SparkSession.getActiveSession()
         # an Arrow table becomes a local relation, which the optimiser evaluates without a job
-        return list(spark.createDataFrame(pa.table({"text": [text]})).select(self.tokens(F.col("text")).alias("t")).first().t)
+        rows = spark.createDataFrame(pa.table({"place": list(range(len(texts))), "text": list(texts)})).select("place", self.tokens(F.col("text")).alias("t"))
+        return [list(r.t) for r in sorted(rows.collect())]
+
+    def unify(self, words: DataFrame) -> DataFrame:
+        return words
+
+
+class DictionaryAnalyzer(SimpleAnalyzer):
+    """Words of letters, unified by a table of forms and their lemmas (form, lemma; lower case; of several lemmas of a form the first in order of
+    letters). Words that it does not hold are their own lemmas. The table is joined: broadcast where Spark finds it small, shuffled where it is not. It
+    serves the index and queries on it; texts are not matched without one."""
+
+    by_substring = False
+
+    def __init__(self, dictionary: DataFrame):
+        self.dictionary = dictionary.groupBy("form").agg(F.min("lemma").alias("_lemma"))
+
+    def unify(self, words: DataFrame) -> DataFrame:
+        return words.join(self.dictionary, F.col("lemma") == F.col("form"), "left").withColumn("lemma", F.coalesce("_lemma", "lemma")).drop("form", "_lemma")
+
+    def tokens_of(self, *texts: str) -> list[list[str]]:
+        split = super().tokens_of(*texts)
+        asked = {w for own in split for w in own}
+        lemma = {r.form: r._lemma for r in self.dictionary.where(F.col("form").isin(sorted(asked))).collect()}  # a row per word of the query
+        return [[lemma.get(w, w) for w in own] for own in split]
 
 
 class PandasAnalyzer:
@@ -44,11 +71,17 @@ class PandasAnalyzer:
     def __init__(self, lemmas: Callable[[str], list[str]]):
         self.lemmas = lemmas
 
-    def tokens_of(self, text: str) -> list[str]:
+    def _of(self, text: str) -> list[str]:
         return [w.lower() for w in self.lemmas(text) if w.isalpha()] if text else []
 
+    def tokens_of(self, *texts: str) -> list[list[str]]:
+        return [self._of(t) for t in texts]
+
+    def unify(self, words: DataFrame) -> DataFrame:
+        return words
+
     def tokens(self, text: Column) -> Column:
-        own = self.tokens_of
+        own = self._of
 
         @F.pandas_udf("array<string>")
         def run(texts: pd.Series) -> pd.Series:

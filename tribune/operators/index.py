@@ -17,7 +17,7 @@ def lemmatised(speeches: DataFrame, analyzer: Analyzer) -> DataFrame:
 def postings(speeches: DataFrame, analyzer: Analyzer) -> DataFrame:
     """Postings of speeches (speech_id, text). Counts are summed within tasks before the one shuffle."""
     words = speeches.select("speech_id", F.explode(analyzer.tokens(F.col("text"))).alias("lemma"))
-    return words.groupBy("speech_id", "lemma").agg(F.count("*").alias("count"))
+    return analyzer.unify(words).groupBy("speech_id", "lemma").agg(F.count("*").alias("count"))
 
 
 def dictionary(index: DataFrame) -> DataFrame:

@@ -16,13 +16,9 @@ STOPWORDS = {
 def parse_query(query: str, analyzer: Analyzer, dedupe_terms: bool = False) -> list[list[str]]:
     """Groups of lemmas, one for each alternative that has any left. A lemma that is repeated in a
     group makes it unsatisfiable, as a count of distinct lemmas never reaches the group's length, unless dedupe_terms is set."""
-    groups = []
-    for part in query.split(","):
-        lemmas = [w for w in analyzer.tokens_of(part) if w not in STOPWORDS]
-        lemmas = list(dict.fromkeys(lemmas)) if dedupe_terms else lemmas
-        if lemmas:
-            groups.append(lemmas)
-    return groups
+    each = (filter(lambda w: w not in STOPWORDS, own) for own in analyzer.tokens_of(*query.split(",")))
+    groups = [list(dict.fromkeys(own)) if dedupe_terms else list(own) for own in each]
+    return [g for g in groups if g]
 
 
 def build_query(groups: list[list[str]]) -> str:

@@ -43,29 +43,39 @@ def match_texts(speeches: DataFrame, groups: list[list[str]], analyzer: Analyzer
     return rows.where(reduce(or_, ok)).withColumn("count", F.size("_hits").cast("long")).drop("_hits")
 
 
+def attach(speeches: DataFrame, matches: DataFrame) -> DataFrame:
+    """speeches that match, with count, from (speech_id, count)."""
+    return speeches.join(matches, "speech_id")
+
+
+def newest(found: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest of matched speeches with count: speaker, text, count, date, time, source_url. Each task keeps `limit` rows, in one pass."""
+    return found.orderBy(F.desc("date"), F.desc("time"), "speech_id").limit(limit).select("speaker", "text", "count", "date", "time", "source_url")
+
+
 def search(speeches: DataFrame, matches: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest matches: speaker, text, count, date, time, source_url. Texts are joined to the limit's rows only."""
-    # few columns take part in the top-k; at most `limit` (200) rows are then broadcast to fetch the texts
-    top = speeches.select("speech_id", "date", "time").join(matches, "speech_id").orderBy(F.desc("date"), F.desc("time"), "speech_id").limit(limit)
-    full = speeches.select("speech_id", "speaker", "text", "source_url").join(F.broadcast(top), "speech_id")
-    return full.orderBy(F.desc("date"), F.desc("time"), "speech_id").select("speaker", "text", "count", "date", "time", "source_url")
+    """The same from an index: the narrow columns of speeches are joined and cut to the limit, and texts are joined to its rows only."""
+    # at most `limit` (200) rows are broadcast to fetch the texts
+    top = attach(speeches.select("speech_id", "date", "time"), matches).orderBy(F.desc("date"), F.desc("time"), "speech_id").limit(limit)
+    return newest(attach(speeches.select("speech_id", "speaker", "text", "source_url"), F.broadcast(top)), limit)
 
 
-def activity(speeches: DataFrame, matches: DataFrame, interval: str = "weekly", metric: str = "speeches") -> DataFrame:
-    """Matching speeches (or, with metric mentions, their weights) by day, week or month in order; months without any are filled with 0."""
+def activity(found: DataFrame, interval: str = "weekly", metric: str = "speeches") -> DataFrame:
+    """Matched speeches (date, count), or with metric mentions their weights, by day, week or month in order; months without any are filled with 0."""
     bucket, name = dates.period(F.col("date"), interval)
     counted = F.count("*") if metric == "speeches" else F.sum("count")
-    found = speeches.select("speech_id", bucket.alias(name)).join(matches, "speech_id").groupBy(name).agg(counted.alias("count"))
+    rows = found.groupBy(bucket.alias(name)).agg(counted.alias("count"))
     if interval == "monthly":
-        found = found.where(F.col(name).isNotNull())
-        ends = found.agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+        # a row per month is little: they become one map, so that the texts are not asked again for the first and last month
+        known = rows.where(F.col(name).isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct(name, "count"))).alias("known"), F.min(name).alias("lo"), F.max(name).alias("hi"))
         month = lambda c: F.to_date(F.concat(F.col(c), F.lit("-01")))
-        every = ends.where("lo is not null").select(F.explode(F.sequence(month("lo"), month("hi"), F.expr("interval 1 month"))).alias("m"))
-        found = every.select(F.date_format("m", "yyyy-MM").alias(name)).join(found, name, "left").select(name, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-    return found.orderBy(name)
+        every = known.where("lo is not null").select("known", F.explode(F.sequence(month("lo"), month("hi"), F.expr("interval 1 month"))).alias("m"))
+        every = every.select("known", F.date_format("m", "yyyy-MM").alias(name))
+        rows = every.select(name, F.coalesce(F.col("known")[F.col(name)], F.lit(0)).cast("long").alias("count"))
+    return rows.orderBy(name)
 
 
-def top_speakers(speeches: DataFrame, matches: DataFrame, limit: int = 20) -> DataFrame:
-    """Speakers by summed weight; a negative limit means all of them."""
-    found = speeches.select("speech_id", "speaker").join(matches, "speech_id").groupBy("speaker").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "speaker")
-    return found if limit < 0 else found.limit(limit)
+def top_speakers(found: DataFrame, limit: int = 20) -> DataFrame:
+    """Speakers of matched speeches (speaker, count) by summed weight; a negative limit means all of them."""
+    rows = found.groupBy("speaker").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "speaker")
+    return rows if limit < 0 else rows.limit(limit)

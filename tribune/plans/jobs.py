@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from .. import schemas
 from ..operators import index
 from ..operators.analyzer import Analyzer
 from ..sources import files
+from ..tables import cut, drop_scratch
+from ..functions import dates
 from . import ingest
 
 
@@ -35,14 +38,24 @@ def load_speeches(spark: SparkSession, lines: str, speeches: str) -> None:
     fresh.select(names).write.mode("append").parquet(speeches)
 
 
-def build_lemmas(spark: SparkSession, speeches: str, out: str, analyzer: Analyzer) -> None:
-    """The speeches with their lemmas, as a derived table that replaces the last one."""
-    index.lemmatised(_table(spark, speeches, schemas.SPEECHES), analyzer).write.mode("overwrite").parquet(out)
+def build_lemmas(spark: SparkSession, speeches: str, lemmas: str, analyzer: Analyzer) -> None:
+    """Lemmas (speech_id, text_lemmas, space between them) of the speeches that have none yet, appended; those whose text yields none are noted, too."""
+    table = _table(spark, speeches, schemas.SPEECHES)
+    fresh = table.join(_table(spark, lemmas, schemas.LEMMAS).select("speech_id"), "speech_id", "left_anti")
+    index.lemmatised(fresh, analyzer).select("speech_id", "text_lemmas").write.mode("append").parquet(lemmas)
 
 
-def build_terms(spark: SparkSession, speeches: str, postings: str, analyzer: Analyzer) -> None:
-    """Postings of the speeches that have none."""
-    index.extend(_table(spark, speeches, schemas.SPEECHES), _table(spark, postings, schemas.POSTINGS), analyzer).write.mode("append").parquet(postings)
+def build_terms(spark: SparkSession, speeches: str, postings: str, analyzer: Analyzer, done: str | None = None) -> None:
+    """Postings of the speeches that have none. With a ledger `done` of speeches, those whose text yields no lemma are not tokenised again."""
+    table = _table(spark, speeches, schemas.SPEECHES)
+    known = _table(spark, postings, schemas.POSTINGS)
+    if done:
+        table = table.join(_table(spark, done, "speech_id long"), "speech_id", "left_anti")
+    fresh = cut(index.missing(table.select("speech_id", "text"), known), "fresh")
+    index.postings(fresh, analyzer).write.mode("append").parquet(postings)
+    if done:
+        fresh.select("speech_id").write.mode("append").parquet(done)
+    drop_scratch(fresh)
 
 
 def build_index(spark: SparkSession, postings: str, table: str) -> None:
@@ -50,15 +63,23 @@ def build_index(spark: SparkSession, postings: str, table: str) -> None:
     index.save(_table(spark, postings, schemas.POSTINGS), table)
 
 
-def fetch_sittings(spark: SparkSession, url: str, start: str, end: str, out: str, ledger: str, history: str, analyzer: Analyzer, pause: str = "6.1") -> None:
-    """New sittings of a REST interface, by months, into speech files; then their uids into the ledger."""
+def _polled(known: bool, start: str | None, end: str | None, today: date, last: str | None = None) -> tuple[str, str]:
+    """The days to ask for: as given; else from two weeks before today (from the first day of all, where nothing is known) to the last day
+    processed, if told, or today."""
+    first = (today - timedelta(days=dates.LOOK_BACK)).isoformat() if known else dates.FIRST_DAY
+    return start or first, end or last or today.isoformat()
+
+
+def fetch_sittings(spark: SparkSession, url: str, out: str, ledger: str, history: str, analyzer: Analyzer, start: str | None = None, end: str | None = None, pause: str = "6.1") -> None:
+    """New sittings of a REST interface, by months, into speech files; then their uids into the ledger. Answers are landed first, so that both are
+    written from the same ones whatever is lost in between."""
+    known = files.read_ledger(spark, ledger)
+    start, end = _polled(not known.isEmpty(), start, end, date.today())
     answers = spark.read.format("rest_months").options(url=url, start=start, end=end, pause=pause).load().coalesce(1)
-    fresh = ingest.unseen(ingest.dated(_parsed(answers, schemas.VERBATIMS)), files.read_ledger(spark, ledger)).persist()
-    try:
-        files.write_speeches(ingest.speeches_of(fresh, files.read_history(spark, history), analyzer), out)
-        files.append_ledger(fresh, ledger)
-    finally:
-        fresh.unpersist()
+    fresh = cut(ingest.unseen(ingest.dated(_parsed(cut(answers, "answers"), schemas.VERBATIMS)), known), "sittings")
+    files.write_speeches(ingest.speeches_of(fresh, files.read_history(spark, history), analyzer), out)
+    files.append_ledger(fresh, ledger)
+    drop_scratch(fresh)
 
 
 def fetch_factions(spark: SparkSession, url: str, out: str, params: dict | None = None) -> None:
@@ -68,11 +89,27 @@ def fetch_factions(spark: SparkSession, url: str, out: str, params: dict | None
     files.write_history(ingest.history_of(rows), out)
 
 
-def fetch_attendance(spark: SparkSession, url: str, start: str, end: str, attendance: str, pause: str = "5.1", wait: str = "10") -> None:
+def fetch_attendance(spark: SparkSession, url: str, attendance: str, start: str | None = None, end: str | None = None, last: str | None = None, pause: str = "5.1", wait: str = "10") -> None:
     """Roll calls of a REST interface that are not in the attendance table yet, with their voters."""
     known = _table(spark, attendance, schemas.ATTENDANCE)
+    start, end = _polled(False, start, end, date.today(), last)
     days = spark.read.format("rest_list").options(url=url, params=json.dumps({"startDate": start, "endDate": end}), pause="0").load()
     calls = ingest.roll_calls(_parsed(days, schemas.VOTINGS)).join(known.select(F.col("voting_uuid").alias("uuid")).distinct(), "uuid", "left_anti")
     asked = [r.asDict() for r in calls.collect()]  # a request each: the interface's limit of twelve a minute bounds them
     voters = spark.read.format("rest_voters").options(url=url, votings=json.dumps(asked), tries="3", pause=pause, wait=wait).load().coalesce(1)
     ingest.attendance_of(_parsed(voters, schemas.VOTERS)).write.mode("append").parquet(attendance)
+
+
+def upload(spark: SparkSession, lines: str, store: str) -> None:
+    """All speech files into an object store (any filesystem that Spark writes), in place of what is there, by year."""
+    files.copy(spark, lines, store)
+
+
+def download(spark: SparkSession, store: str, lines: str, year: str | None = None) -> None:
+    """The speech files of one year, by default the current one, out of an object store; a year that is missing gives none."""
+    files.copy(spark, store, lines, int(year or date.today().year))
+
+
+def download_all(spark: SparkSession, store: str, lines: str) -> None:
+    """The speech files of all years out of an object store."""
+    files.copy(spark, store, lines)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import job_queries
 from .functions import dates, numbers, text
 from .operators import attendance, index, search
 from .operators.analyzer import SimpleAnalyzer
@@ -20,10 +21,9 @@ ANALYZER = SimpleAnalyzer()
 SINGLE, AND, OR, COMBINED, PARTIAL, STOPPED, RARE = "the", "the that", "pour, und", "the that, pour par", "the that, und zzz", "on the, et", "ciónas"
 
 
-def _matches(spark: SparkSession, sf_dir: str, query: str) -> tuple[DataFrame, DataFrame]:
-    """Speeches that match with their count, and the same as (speech_id, count)."""
-    found = search.match_texts(samples.speeches(spark, sf_dir), parse_query(query, ANALYZER), ANALYZER)
-    return found, found.select("speech_id", "count")
+def _matches(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Speeches that match, with their count, in one pass over the texts."""
+    return search.match_texts(samples.speeches(spark, sf_dir), parse_query(query, ANALYZER), ANALYZER)
 
 
 def _found(query: str) -> Query:
@@ -43,27 +43,15 @@ def _from_index(query: str) -> Query:
 
 
 def _top(limit: int) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found, counts = _matches(spark, sf_dir, COMBINED)
-        return search.search(samples.speeches(spark, sf_dir), counts, limit)
-
-    return run
+    return lambda spark, sf_dir: search.newest(_matches(spark, sf_dir, COMBINED), limit)
 
 
 def _activity(query: str, interval: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found, counts = _matches(spark, sf_dir, query)
-        return search.activity(found.drop("count"), counts, interval)
-
-    return run
+    return lambda spark, sf_dir: search.activity(_matches(spark, sf_dir, query), interval)
 
 
 def _speakers(limit: int) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found, counts = _matches(spark, sf_dir, COMBINED)
-        return search.top_speakers(found.drop("count"), counts, limit)
-
-    return run
+    return lambda spark, sf_dir: search.top_speakers(_matches(spark, sf_dir, COMBINED), limit)
 
 
 def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +88,7 @@ def attendance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attendance_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples.attendance(spark, sf_dir)
     voter = F.struct(F.col("member_name").alias("fullName"), F.struct(F.col("faction").alias("name")).alias("faction"), F.struct(F.col("status").alias("code")).alias("decision"))
-    votings = rows.where("member_name <> 'm1'").groupBy(F.col("voting_uuid").alias("uuid")).agg(F.min("session_date").alias("startDateTime"), F.collect_set(voter).alias("voters"))
+    votings = rows.where("member_name <> 'm1'").groupBy(F.col("voting_uuid").alias("uuid"), F.pmod(F.xxhash64("member_name"), F.lit(32)).alias("block")).agg(F.min("session_date").alias("startDateTime"), F.collect_set(voter).alias("voters"))
     known = rows.where("voting_uuid like '%00'").select("voting_uuid")
     return ingest.attendance_of(votings, known).groupBy("voting_uuid").agg(F.count("*").alias("n_members"))
 
@@ -199,7 +187,7 @@ QUERIES: dict[str, Query] = {
     "snippet_350": snippet_350,
     "year_partition_counts": year_partition_counts,
     "percentage_ties": percentage_ties,
-}
+} | job_queries.QUERIES
 
 # --- the same in SQL, stated independently: an alternative is a speech id in a grouped subquery ---
 
@@ -281,3 +269,4 @@ SELECT strftime(greatest(m, lo), '%Y-%m-%d') AS chunk_start, strftime(least(last
     "year_partition_counts": "SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1",
     "percentage_ties": "SELECT k, n, round_even(k / n * 100, 1) AS percent FROM (SELECT DISTINCT l_linenumber::BIGINT AS k, l_orderkey % 200 + 8 AS n FROM lineitem)",
 }
+ORACLES |= job_queries.oracles(ORACLES, _TERMS, _STATS)

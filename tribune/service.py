@@ -42,6 +42,12 @@ class Service:
     def root(self) -> dict:
         return {"status": "ok"}
 
+    @staticmethod
+    def headers(origin: str) -> dict:
+        """What an answer to a browser at that origin carries: leave to read it, with any method and header, if the origin is one of ORIGINS."""
+        leave = {"Access-Control-Allow-Origin": origin, "Access-Control-Allow-Methods": "*", "Access-Control-Allow-Headers": "*"}
+        return leave if origin in ORIGINS else {}
+
     def search(self, q: str, limit: int = 50) -> dict:
         if not q or not SEARCH_LIMITS[0] <= limit <= SEARCH_LIMITS[1]:
             raise Invalid("q must not be empty, limit from 1 to 200")
@@ -53,12 +59,12 @@ class Service:
         if not q:
             raise Invalid("q must not be empty")
         found = self._matches(q)
-        rows = [] if found is None else self._dicts(search.activity(self.speeches, found, interval))
+        rows = [] if found is None else self._dicts(search.activity(search.attach(self.speeches.select("speech_id", "date"), found), interval))
         return {"query": q, "interval": interval, "activity": rows}
 
     def speakers(self, q: str, limit: int = 20) -> dict:
         found = self._matches(q) if q else None
-        return {"query": q, "speakers": [] if found is None else self._dicts(search.top_speakers(self.speeches, found, limit))}
+        return {"query": q, "speakers": [] if found is None else self._dicts(search.top_speakers(search.attach(self.speeches.select("speech_id", "speaker"), found), limit))}
 
     def attendance(self) -> list[dict]:
         return self._dicts(attendance.stats(self.roll))

@@ -28,7 +28,11 @@ def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
     return rows.writeStream.format("json").partitionBy("year").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def counts_by_day(rows: DataFrame, late: str = "14 days") -> DataFrame:
-    """Streaming counts of speeches (a `date` column of text) by day; sittings up to `late` behind the newest still count."""
-    at = rows.withColumn("at", F.to_timestamp("date")).withWatermark("at", late)
-    return at.groupBy(F.window("at", "1 day")).agg(F.count("*").alias("count")).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "count")
+def counts(rows: DataFrame, interval: str = "daily", late: str = "14 days") -> DataFrame:
+    """Streaming counts of speeches (a `date` column of text) by day, week or month; sittings up to `late` behind the newest still count. Days are
+    windows that end when they are that far behind; weeks and months, which are no windows of one length, are updated for good."""
+    if interval == "daily":
+        at = rows.withColumn("at", F.to_timestamp("date")).withWatermark("at", late)
+        return at.groupBy(F.window("at", "1 day")).agg(F.count("*").alias("count")).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "count")
+    bucket, name = dates.period(F.col("date"), interval)
+    return rows.groupBy(bucket.alias(name)).agg(F.count("*").alias("count"))

@@ -41,3 +41,20 @@ def test_forest_and_bits():
     assert common.forest(6, np.array([0, 1, 4]), np.array([1, 2, 5])).tolist() == [0, 0, 0, 3, 4, 4]
     x, y = np.array([-1, 0, 5]), np.array([0, -(2**63), 5])
     assert common.differing_bits(x, y).tolist() == [64, 1, 0]
+
+
+def test_connect_asks_only_what_is_open():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        n = 60
+        link = np.triu(rng.random((n, n)) < 0.03, 1)
+        asked = []
+
+        def linked(p, rows):
+            asked.append(len(rows))
+            return rows[link[p - 5, rows - 5]]
+
+        label = common.connect(5, 5 + n, linked)
+        assert (label == 5 + common.forest(n, *np.nonzero(link))).all()
+    asked.clear()
+    assert (common.connect(0, 500, lambda p, rows: (asked.append(len(rows)), rows)[1]) == 0).all() and sum(asked) == 499

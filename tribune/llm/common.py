@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +72,13 @@ def _starts(table: pa.Table, key: Sequence[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), table.num_rows)
 
 
-def pairs_within(offsets: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (a, b), a < b, of rows in the same group, at most about `most` at a time."""
-    starts, sizes = offsets[:-1], np.diff(offsets)
+def pairs_within(offsets: np.ndarray, most: int = 1_000_000, largest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a, b), a < b, of rows in the same group, at most about `most` at a time; of groups of at most `largest` rows, if given."""
+    sizes = np.diff(offsets)
     # each row a is paired with the rows after it in its group
     after = np.repeat(offsets[1:], sizes) - 1 - np.arange(offsets[0], offsets[-1])
+    if largest is not None:
+        after[np.repeat(sizes, sizes) > largest] = 0
     first = np.arange(offsets[0], offsets[-1])
     ends = np.cumsum(after)
     lo = 0
@@ -113,6 +115,24 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def connect(lo: int, hi: int, linked: Callable[[int, np.ndarray], Iterable[int]]) -> np.ndarray:
+    """The smallest row that each of the rows lo to hi reaches over links. linked(p, rows) tells which of some later rows a row links to.
+
+    It is asked only for rows that are not connected to p yet, so a group whose rows are all alike costs one look a row, not one a pair.
+    """
+    label = np.arange(lo, hi)
+    for p in range(lo, hi - 1):
+        apart = label != label[p - lo]
+        if not apart.any():
+            break
+        rows = p + 1 + np.flatnonzero(apart[p - lo + 1 :])
+        found = [label[k - lo] for k in linked(p, rows)] if len(rows) else []
+        if found:
+            merged = np.unique([*found, label[p - lo]])
+            label[np.isin(label, merged)] = merged[0]
+    return label
+
+
 class Words(dict):
     """64-bit hashes of words, remembered."""
 

@@ -189,7 +189,9 @@ def format_chats(messages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, role, text) with text without quotations, parent_turn, quotes and position in reply order from 0."""
     messages = messages.drop("parent_turn", "quotes", "position").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
     # the tree is made of the key columns alone; what else messages hold, whatever its name, only passes through the last join
-    tree = cut(parents(parse(messages.select("conv_id", "turn", "text"))), "tree")
+    hashed = cut(parse(messages.select("conv_id", "turn", "text")).select("conv_id", "turn", "said", "quoted"), "hashes")
+    tree = cut(parents(hashed), "tree")
+    drop_scratch(hashed)
     # the first reply continues the branch of its parent
     continues = tree.where("parent_turn is not null").groupBy("conv_id", "parent_turn").agg(F.min("turn").alias("turn")).withColumn("continues", F.lit(True))
     marked = tree.join(continues, ["conv_id", "parent_turn", "turn"], "left")

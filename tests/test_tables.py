@@ -31,3 +31,13 @@ def test_cut_and_drop(spark):
     df = tables.cut(spark.range(5), "five")
     assert df.count() == 5 and "five-" in df.inputFiles()[0]
     tables.drop_scratch(df)
+
+
+def test_cut_bucketed(spark):
+    left, right = (tables.cut_bucketed(spark.range(n).withColumnRenamed("id", "k"), "side", "k", 3) for n in (50, 20))
+    joined = left.hint("merge").join(right, "k")
+    assert joined.count() == 20 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    name = tables._table_of(left.inputFiles()[0].rsplit("/", 1)[0])
+    assert spark.catalog.tableExists(name)
+    tables.drop_scratch(left, right)
+    assert not spark.catalog.tableExists(name)

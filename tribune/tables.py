@@ -34,11 +34,27 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """As cut(), bucketed by a key: tables with equal buckets join on the key without a shuffle."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    name = _table_of(path)
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _table_of(path: str) -> str:
+    return "scratch_" + path.rstrip("/").rsplit("/", 1)[1].replace("-", "_")
+
+
 def drop_scratch(*tables: DataFrame) -> None:
-    """Delete what cut() wrote for the tables, once nothing reads them any more."""
+    """Delete what cut() or cut_bucketed() wrote for the tables, once nothing reads them any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
+        spark = df.sparkSession
+        jvm = spark._jvm
+        conf = spark._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+            if spark.catalog.tableExists(_table_of(folder)):
+                spark.sql(f"DROP TABLE {_table_of(folder)}")

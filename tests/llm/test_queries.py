@@ -21,7 +21,7 @@ def test_sql(spark, sf_dir, name):
 
 
 def test_names():
-    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14)] == [1] * 13
 
 
 @pytest.fixture(scope="module")

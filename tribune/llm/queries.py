@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, line_dedup, mixing, ngram_join, pieces, quality, quotes, url_filter, warc
+from . import exact_dedup, lattice, line_dedup, mixing, ngram_join, pieces, quality, quotes, url_filter, va_means, warc
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -179,6 +179,37 @@ counted AS (
 SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEGER AS replica FROM counted WHERE n > 0
 """
 
+def op13_va_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_means.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _op13_sql(k: int = va_means.CENTROIDS, rounds: int = va_means.ROUNDS, dimensions: int = va_means.DIMENSIONS, scale: int = va_means.SCALE) -> str:
+    """Each round as two common table expressions: assignments, and centroids as one row per centroid."""
+    own = lambda r: f"""a{r} AS (
+  SELECT v.vec_id, v.x, arg_min(c.k, (list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.k)) AS k,
+         min(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d
+  FROM v, c{r} c GROUP BY v.vec_id, v.x)"""
+    mean = lambda r: f"""m{r} AS (
+  SELECT k, list(x ORDER BY i) AS x FROM (
+    SELECT k, i, floor_div(sum(x), count(*)) AS x FROM (SELECT k, unnest(x) AS x, unnest(range(1, {dimensions + 1})) AS i FROM a{r}) GROUP BY k, i) GROUP BY k),
+c{r + 1} AS (SELECT c{r}.k, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (k))"""
+    steps = ",\n".join(f"{own(r)},\n{mean(r)}" for r in range(rounds))
+    text = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, x FROM v ORDER BY k LIMIT {k}),
+{steps},
+{own(rounds)}
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)
+"""
+    return text.replace("floor_div(sum(x), count(*))", "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT")
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -190,6 +221,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op13_va_means": op13_va_means,
 }
 ORACLES = {
     "op2_ngram_jaccard": OP2_SQL,
@@ -199,4 +231,5 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
+    "op13_va_means": OP13_SQL,
 }

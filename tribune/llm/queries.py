@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, line_dedup, mixing, ngram_join, pieces, quality, quotes, url_filter, va_means, warc
+from . import collocations, exact_dedup, lattice, line_dedup, mixing, ngram_join, pieces, quality, quotes, url_filter, va_means, warc
 
 #: Vocabulary of a public tokenizer, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -179,6 +179,35 @@ counted AS (
 SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEGER AS replica FROM counted WHERE n > 0
 """
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP12_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{url_filter._UPPER}', '{url_filter._LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+sized AS (SELECT lang, ws, unnest(range(1, {collocations.LONGEST + 1})) AS size FROM w),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM sized),
+f AS (SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM grams GROUP BY lang, size, phrase HAVING count(*) >= {collocations.SUPPORT}),
+cuts AS (SELECT lang, phrase, size, f AS a, ws, unnest(range(1, size)) AS k FROM f WHERE size >= 2),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, c.k, (2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, f, unnest(list_transform(range(1, size - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS phrase
+  FROM (SELECT lang, size, f, ws, unnest(range(2, size)) AS n FROM f WHERE size >= 3)),
+covered AS (SELECT lang, phrase, max(f) AS most FROM inner_ GROUP BY lang, phrase)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score::BIGINT AS score
+FROM best b JOIN totals USING (lang) LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase
+WHERE most IS NULL OR 100::HUGEINT * most < {collocations.COVERED}::HUGEINT * a
+QUALIFY rank <= {collocations.TOP}
+"""
+
+
 def op13_va_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_means.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -221,6 +250,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op12_collocations": op12_collocations,
     "op13_va_means": op13_va_means,
 }
 ORACLES = {
@@ -231,5 +261,6 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_va_means": OP13_SQL,
 }

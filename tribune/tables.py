@@ -34,12 +34,13 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_bucketed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
-    """As cut(), bucketed by a key: tables with equal buckets join on the key without a shuffle."""
+def cut_bucketed(df: DataFrame, what: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
+    """As cut(), bucketed by a key: tables with equal buckets join on the key without a shuffle. dealt: df comes from such tables, so that a task has
+    one bucket already and rows need no shuffle to be few files."""
     spark = df.sparkSession
     path = scratch(spark, what)
     name = _table_of(path)
-    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    (df if dealt else df.repartition(buckets, key)).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

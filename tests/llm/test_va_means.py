@@ -86,9 +86,9 @@ def test_rounds_do_not_shuffle_vectors(spark, monkeypatch):
     plans = []
     real = va_means.cut_bucketed
 
-    def watched(df, what, key, buckets):
+    def watched(df, what, key, buckets, dealt=False):
         plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
-        return real(df, what, key, buckets)
+        return real(df, what, key, buckets, dealt)
 
     monkeypatch.setattr(va_means, "cut_bucketed", watched)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

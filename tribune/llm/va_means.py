@@ -211,9 +211,9 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dimens
             known = known.select("row", "cells", F.coalesce("found", "marked").alias("was"))
         else:
             known = known.withColumn("was", F.lit(-1))
-        marks = cut_bucketed(known.mapInArrow(_by_cells(centroids, edges), "row long, was int, now int"), "marks", "row", buckets)
+        marks = cut_bucketed(known.mapInArrow(_by_cells(centroids, edges), "row long, was int, now int"), "marks", "row", buckets, dealt=True)
         wanted = file.select("row", "v").join(marks.where("now < 0 or now <> was"), "row")
-        exact = cut_bucketed(wanted.mapInArrow(_by_vectors(centroids), "row long, now int, n long, sums array<array<string>>"), "exact", "row", buckets)
+        exact = cut_bucketed(wanted.mapInArrow(_by_vectors(centroids), "row long, now int, n long, sums array<array<string>>"), "exact", "row", buckets, dealt=True)
         drop_scratch(*state)
         state = (marks, exact)
         changes = exact.where("row is null").select("now", "n", F.posexplode("sums").alias("d", "parts"))

@@ -7,10 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, lattice, line_dedup, mixing, ngram_join, pieces, quality, quotes, url_filter, va_means, warc
+from . import chunked_bpe, collocations, exact_dedup, lattice, line_dedup, mixing, ngram_join, pieces, quality, quotes, url_filter, va_means, warc
 
-#: Vocabulary of a public tokenizer, not part of this repository.
+#: Vocabularies of public tokenizers, not part of this repository.
 PIECES = os.environ.get("TRIBUNE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+WORD_BPE = os.environ.get("TRIBUNE_WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +180,11 @@ counted AS (
 SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEGER AS replica FROM counted WHERE n > 0
 """
 
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunked_bpe.encode(docs, chunked_bpe.read_model(WORD_BPE), digests=True)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -250,6 +256,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op11_chunked_bpe": op11_chunked_bpe,
     "op12_collocations": op12_collocations,
     "op13_va_means": op13_va_means,
 }

@@ -33,11 +33,15 @@ def test_pipeline_of_jobs(spark, tmp_path):
     run("build_lemmas", speeches=at("speeches"), lemmas=at("lemmas"))
     assert spark.read.parquet(at("lemmas")).first().text_lemmas == "kliima muutub kliima"
     assert {(r.lemma, r["count"]) for r in spark.read.parquet(at("postings")).collect()} == {("kliima", 2), ("muutub", 1)}
+    spark.createDataFrame([("muutub", "muutuma"), ("kaotab", "kaotama"), ("kliimat", "kliima")], "form string, lemma string").write.parquet(at("dictionary"))
+    run("learn_lemmas", dictionary=at("dictionary"), model=at("model"))
+    run("build_lemmas", speeches=at("speeches"), lemmas=at("learned"), model=at("model"))
+    assert spark.read.parquet(at("learned")).first().text_lemmas == "kliima muutuma kliima"
     run("build_index", postings=at("postings"), table="job_index")
     assert spark.table("job_index").count() == 2
     spark.sql("drop table job_index")
     assert [tuple(r) for r in spark.read.parquet(at("attendance")).collect()] == [("d", "u1", "A B", "", "KOHAL")]
-    assert len(json.loads(json.dumps(sorted(JOBS)))) == 10
+    assert len(json.loads(json.dumps(sorted(JOBS)))) == 11
 
 
 def test_polling_window():

@@ -1,4 +1,5 @@
-"""python -m tribune JOB name=value ...: runs a job of tribune.plans.jobs."""
+"""python -m tribune JOB name=value ...: runs a job of tribune.plans.jobs. Jobs that need lemmas take model=PATH, as learn_lemmas writes it; without one, words are
+their own lemmas."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tribune.operators.analyzer import SimpleAnalyzer
+from tribune.operators.lemmas import load_model
 from tribune.plans import jobs
 from tribune.sources import rest
 
@@ -22,7 +24,8 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     spark = spark or SparkSession.builder.appName(f"tribune {args[0]}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     options: dict = dict(a.split("=", 1) for a in args[1:])
     if "analyzer" in inspect.signature(JOBS[args[0]]).parameters:
-        options["analyzer"] = SimpleAnalyzer()
+        model = options.pop("model", None)
+        options["analyzer"] = load_model(spark, model) if model else SimpleAnalyzer()
     if own:
         rest.register(spark)
     JOBS[args[0]](spark, **options)

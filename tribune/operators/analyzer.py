@@ -15,11 +15,14 @@ class Analyzer(Protocol):
     def tokens(self, text: Column) -> Column:
         """Lemmas of a text, an array of strings in order; empty for null."""
 
+    def forms(self, text: Column) -> Column:
+        """What unify() makes lemmas of: the words of a text, or its lemmas where these come at once."""
+
     def tokens_of(self, *texts: str) -> list[list[str]]:
         """The same for each of a few texts on the driver."""
 
     def unify(self, words: DataFrame) -> DataFrame:
-        """Rows with a token in `lemma`, with its lemma there instead."""
+        """Rows with one of the forms in `lemma`, with its lemma there instead. Forms are few beside the words of texts, so count them first."""
 
 
 class SimpleAnalyzer:
@@ -32,6 +35,9 @@ class SimpleAnalyzer:
         words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
         return F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.rlike(r"^\p{L}+$"))
 
+    def forms(self, text: Column) -> Column:
+        return self.tokens(text)
+
     def tokens_of(self, *texts: str) -> list[list[str]]:
         # through the same expression, so that letters and cases mean the same
         spark = SparkSession.getActiveSession()
@@ -45,19 +51,25 @@ class SimpleAnalyzer:
 
 class DictionaryAnalyzer(SimpleAnalyzer):
     """Words of letters, unified by a table of forms and their lemmas (form, lemma; lower case; of several lemmas of a form the first in order of
-    letters). Words that it does not hold are their own lemmas. The table is joined: broadcast where Spark finds it small, shuffled where it is not. It
-    serves the index and queries on it; texts are not matched without one."""
+    letters). Words that it does not hold are their own lemmas. The table is joined: broadcast where Spark finds it small, shuffled where it is not, so
+    it may be of any size. It serves the index and queries on it; for lemmas of texts as a column, LemmaAnalyzer has to hold the table."""
 
     by_substring = False
 
     def __init__(self, dictionary: DataFrame):
         self.dictionary = dictionary.groupBy("form").agg(F.min("lemma").alias("_lemma"))
 
+    def forms(self, text: Column) -> Column:
+        return super().tokens(text)
+
+    def tokens(self, text: Column) -> Column:
+        raise TypeError("a joined table gives no lemmas as a column: use lemmas.LemmaAnalyzer")
+
     def unify(self, words: DataFrame) -> DataFrame:
         return words.join(self.dictionary, F.col("lemma") == F.col("form"), "left").withColumn("lemma", F.coalesce("_lemma", "lemma")).drop("form", "_lemma")
 
     def tokens_of(self, *texts: str) -> list[list[str]]:
-        split = super().tokens_of(*texts)
+        split = SimpleAnalyzer().tokens_of(*texts)
         asked = {w for own in split for w in own}
         lemma = {r.form: r._lemma for r in self.dictionary.where(F.col("form").isin(sorted(asked))).collect()}  # a row per word of the query
         return [[lemma.get(w, w) for w in own] for own in split]
@@ -80,6 +92,9 @@ class PandasAnalyzer:
     def unify(self, words: DataFrame) -> DataFrame:
         return words
 
+    def forms(self, text: Column) -> Column:
+        return self.tokens(text)
+
     def tokens(self, text: Column) -> Column:
         own = self._of
 

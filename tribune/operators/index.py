@@ -15,9 +15,12 @@ def lemmatised(speeches: DataFrame, analyzer: Analyzer) -> DataFrame:
 
 
 def postings(speeches: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Postings of speeches (speech_id, text). Counts are summed within tasks before the one shuffle."""
-    words = speeches.select("speech_id", F.explode(analyzer.tokens(F.col("text"))).alias("lemma"))
-    return analyzer.unify(words).groupBy("speech_id", "lemma").agg(F.count("*").alias("count"))
+    """Postings of speeches (speech_id, text). Counts are summed within tasks before the one shuffle; forms become lemmas when they are counted, so a
+    frequent word is asked for once a speech."""
+    words = speeches.select("speech_id", F.explode(analyzer.forms(F.col("text"))).alias("lemma"))
+    counted = words.groupBy("speech_id", "lemma").agg(F.count("*").alias("count"))
+    unified = analyzer.unify(counted)
+    return counted if unified is counted else unified.groupBy("speech_id", "lemma").agg(F.sum("count").alias("count"))
 
 
 def dictionary(index: DataFrame) -> DataFrame:

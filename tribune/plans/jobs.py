@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import index
+from ..operators import index, lemmas as lemma_rules
 from ..operators.analyzer import Analyzer
 from ..sources import files
 from ..tables import cut, drop_scratch
@@ -38,6 +38,11 @@ def load_speeches(spark: SparkSession, lines: str, speeches: str) -> None:
     fresh.select(names).write.mode("append").parquet(speeches)
 
 
+def learn_lemmas(spark: SparkSession, dictionary: str, model: str) -> None:
+    """A lemma model of a table of forms and lemmas (Parquet, columns form and lemma), for the jobs that take an analyzer."""
+    lemma_rules.save_model(spark.read.schema(lemma_rules.WORDS).parquet(dictionary), model)
+
+
 def build_lemmas(spark: SparkSession, speeches: str, lemmas: str, analyzer: Analyzer) -> None:
     """Lemmas (speech_id, text_lemmas, space between them) of the speeches that have none yet, appended; those whose text yields none are noted, too."""
     table = _table(spark, speeches, schemas.SPEECHES)

@@ -135,9 +135,11 @@ def _by_vectors(centroids: list[list[int]]) -> Callable[[Batches], Batches]:
                 counts[c] += won.sum() - lost.sum()
             yield _rows(batch.column("row"), now)
         for c in range(k):
-            if counts[c] or any(sums[c]):
-                parts = [pa.array([None], pa.int64()), pa.array([c], pa.int32()), pa.array([counts[c]]), pa.array([[_parts(s) for s in sums[c]]])]
-                yield pa.RecordBatch.from_arrays(parts, names=["row", "now", "n", "sums"])
+            each = [_parts(s) for s in sums[c]]
+            for part in range(max(map(len, each)) if counts[c] or any(sums[c]) else 0):
+                own = [x[part] if part < len(x) else "0" for x in each]
+                columns = [pa.array([None], pa.int64()), pa.array([c], pa.int32()), pa.array([0 if part else counts[c]], pa.int64()), pa.array([part], pa.int32()), pa.array([own])]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "now", "n", "part", "sums"])
 
     return run
 
@@ -150,7 +152,7 @@ def _parts(s: int) -> list[str]:
 
 def _rows(row: pa.Array, now: np.ndarray) -> pa.RecordBatch:
     n = len(row)
-    return pa.RecordBatch.from_arrays([row, pa.array(now, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.list_(pa.string())))], names=["row", "now", "n", "sums"])
+    return pa.RecordBatch.from_arrays([row, pa.array(now, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))], names=["row", "now", "n", "part", "sums"])
 
 
 def _measure(centroids: list[list[int]]) -> Callable[[Batches], Batches]:
@@ -213,14 +215,13 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dimens
             known = known.withColumn("was", F.lit(-1))
         marks = cut_bucketed(known.mapInArrow(_by_cells(centroids, edges), "row long, was int, now int"), "marks", "row", buckets, dealt=True)
         wanted = file.select("row", "v").join(marks.where("now < 0 or now <> was"), "row")
-        exact = cut_bucketed(wanted.mapInArrow(_by_vectors(centroids), "row long, now int, n long, sums array<array<string>>"), "exact", "row", buckets, dealt=True)
+        exact = cut_bucketed(wanted.mapInArrow(_by_vectors(centroids), "row long, now int, n long, part int, sums array<string>"), "exact", "row", buckets, dealt=True)
         drop_scratch(*state)
         state = (marks, exact)
-        changes = exact.where("row is null").select("now", "n", F.posexplode("sums").alias("d", "parts"))
-        changes = changes.select("now", "n", "d", F.posexplode("parts").alias("part", "s"))
-        for r in changes.groupBy("now", "d", "part").agg(F.sum("n").alias("n"), F.sum(_whole("s")).alias("s")).collect():  # a few rows per centroid and dimension
-            sums[r.now][r.d] += int(r.s) * 10 ** (DIGITS * r.part)
-            counts[r.now] += r.n if r.d == r.part == 0 else 0
+        changes = exact.where("row is null").groupBy("now", "part").agg(F.sum("n").alias("n"), *(F.sum(F.col("sums")[d].cast("decimal(38,0)")).alias(f"s{d}") for d in range(dimensions)))
+        for r in changes.collect():  # a few rows per centroid
+            counts[r.now] += r.n
+            sums[r.now] = [s + int(r[f"s{d}"]) * 10 ** (DIGITS * r.part) for d, s in enumerate(sums[r.now])]
         centroids = [[s // m for s in own] if m else old for own, m, old in zip(sums, counts, centroids, strict=True)]
     drop_scratch(*state)
     measured = cut(file.select("vec_id", "v").mapInArrow(_measure(centroids), f"vec_id {dict(given.dtypes)['vec_id']}, cluster int, distance long"), "measured")

@@ -88,6 +88,7 @@ def test_files(spark, tmp_path):
     files.write_speeches(rows, out)
     assert files.read_speeches(spark, out).count() == 4
     assert [r.text for r in files.read_speeches(spark, out, strict=True, year=2020).collect()] == ["õ", "õ"]
+    assert files.read_speeches(spark, out, year=1900).count() == 0
     (tmp_path / "bad.jsonl").write_text('{"date": "2020-01-01"}\nnot json\n')
     assert files.read_speeches(spark, str(tmp_path / "bad.jsonl")).cache().where("_corrupt_record is not null").count() == 1
 
@@ -124,13 +125,11 @@ def test_rest_sources(spark):
 
     rest.register(spark, transport)
     rows = lambda f, **o: sorted(r.json for r in spark.read.format(f).options(pause="0", wait="0", **o).load().collect())
-    got = rows("rest_months", url="http://x", start="2024-01-10", end="2024-03-05")
+    got = rows("rest_months", url="http://x", months='[["2024-01-10", "2024-01-31"], ["2024-02-01", "2024-02-29"], ["2024-03-01", "2024-03-05"]]')
     assert [json.loads(r)["link"] for r in got] == ["2024-01-10", "2024-03-01"]
     assert len(rows("rest_list", url="http://x", params='{"a": [1, 2]}')) == 1
     votings = json.dumps([{"uuid": u, "startDateTime": "d"} for u in ("u1", "u2", "late")])
     assert [json.loads(r)["uuid"] for r in rows("rest_voters", url="http://x", votings=votings, tries="2")] == ["u1"]
-    assert rest.months("2019-04-04", "2019-06-10") == [("2019-04-04", "2019-04-30"), ("2019-05-01", "2019-05-31"), ("2019-06-01", "2019-06-10")]
-    assert rest.months("2020-01-02", "2020-01-01") == []
 
 
 def test_streaming_counts_are_batch_counts(spark, tmp_path):

@@ -1,8 +1,13 @@
 import json
 
+from tribune import schemas
 from tribune.__main__ import JOBS, main
+from tribune.operators.analyzer import SimpleAnalyzer
+from tribune.plans import jobs
 from tribune.plans.ingest import ROLL_CALL
-from tribune.sources import rest
+from tribune.plans.publish import Aside
+from tribune.sources import files, rest
+from tribune.sources.store import Store
 
 
 def transport(url, params):
@@ -44,23 +49,79 @@ def test_pipeline_of_jobs(spark, tmp_path):
     assert len(json.loads(json.dumps(sorted(JOBS)))) == 11
 
 
-def test_polling_window():
+def test_polling_window(spark):
     from datetime import date
 
     from tribune.plans.jobs import _polled
 
     today = date(2024, 3, 10)
-    assert _polled(False, None, None, today) == ("2019-04-04", "2024-03-10")
-    assert _polled(True, None, None, today) == ("2024-02-25", "2024-03-10")
-    assert _polled(True, "2024-01-01", None, today, "2024-02-02") == ("2024-01-01", "2024-02-02")
-    assert _polled(True, None, "2024-03-01", today, "2024-02-02")[1] == "2024-03-01"
+    polled = lambda *a: _polled(spark, *a)[:2]
+    assert polled(False, None, None, today) == ("2019-04-04", "2024-03-10")
+    assert polled(True, None, None, today) == ("2024-02-25", "2024-03-10")
+    assert polled(True, "2024-01-01", None, today, "2024-02-02") == ("2024-01-01", "2024-02-02")
+    assert polled(True, None, "2024-03-01", today, "2024-02-02")[1] == "2024-03-01"
+    months = _polled(spark, False, "2019-04-04", "2019-06-10", today)[2]
+    assert months == [("2019-04-04", "2019-04-30"), ("2019-05-01", "2019-05-31"), ("2019-06-01", "2019-06-10")]
+    assert _polled(spark, False, "2020-01-02", "2020-01-01", today)[2] == []
+
+
+def test_rejects_are_kept(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    good = {"date": "2020-01-01", "time": "0900", "source_file": "f", "source_url": "u", "speaker": "s", "text": "t"}
+    (tmp_path / "2020.jsonl").write_text("\n".join([json.dumps(good), "not json", json.dumps(good | {"text": None, "speaker": None}), json.dumps(good | {"extra": 1}), "not json"]))
+    assert jobs.load_speeches(spark, at("2020.jsonl"), at("speeches")) == {"read": 5, "good": 2, "rejected": 1, "malformed": 2, "new": 1}
+    (tmp_path / "2021.jsonl").write_text("{\n" + json.dumps(good | {"text": "other"}))
+    assert jobs.load_speeches(spark, at("2020.jsonl"), at("speeches"))["new"] == 0
+    assert jobs.load_speeches(spark, at("2021.jsonl"), at("speeches")) == {"read": 2, "good": 1, "rejected": 0, "malformed": 1, "new": 1}
+    bad = Store(spark, at("speeches")).read(jobs.REJECTED, schemas.REJECTED).collect()
+    assert sorted((r.reason, r.file.rsplit("/", 1)[1]) for r in bad) == [("malformed", "2020.jsonl"), ("malformed", "2021.jsonl"), ("without speaker, text", "2020.jsonl")]
+    assert {r.record for r in bad if r.reason == "malformed"} == {"not json", "{"}
+    assert jobs.stored(spark, at("speeches"), schemas.SPEECHES).count() == 2
+
+
+class Lost(Exception):
+    pass
+
+
+def test_sittings_and_ledger_come_together(spark, tmp_path, monkeypatch):
+    """A run is cut at each of its steps, given again, and leaves what an undisturbed one leaves."""
+    rest.register(spark, transport)
+    at = lambda n: str(tmp_path / n)
+    fetch = lambda where: jobs.fetch_sittings(spark, "http://x/v", at(f"{where}/lines"), at(f"{where}/ledger"), at("none"), SimpleAnalyzer(), "2024-01-01", "2024-02-20", "0", at(f"{where}/state"))
+    seen = lambda where: (sorted(map(str, files.read_speeches(spark, at(f"{where}/lines")).collect())), sorted(map(str, files.read_ledger(spark, at(f"{where}/ledger")).collect())), jobs.last_processed(spark, at(f"{where}/state")))
+    fetch("whole")
+    assert seen("whole")[2] == "2024-02-20" and len(seen("whole")[0]) == 2
+    step, crashed = 0, True
+    while crashed:
+        calls = []
+
+        def failing(real, calls=calls, step=step):
+            def run(self, *args):
+                calls.append(real.__name__)
+                if len(calls) > step:
+                    raise Lost
+                return real(self, *args)
+
+            return run
+
+        with monkeypatch.context() as m:
+            for name in ("write", "commit", "_move", "_delete"):
+                m.setattr(Aside, name, failing(getattr(Aside, name)))
+            try:
+                fetch(str(step))
+                crashed = False
+            except Lost:
+                pass
+        fetch(str(step))
+        assert seen(str(step)) == seen("whole"), (step, calls)
+        assert Aside(spark, at(f"{step}/lines/_aside")).runs() == []
+        step += 1
+    assert step > 7  # three folders written, the manifest, three files moved, the run deleted
 
 
 def test_store(spark, tmp_path):
     from datetime import date
 
-    from tribune.sources import files
-
     at = lambda n: str(tmp_path / n)
     year = date.today().year
     rows = spark.createDataFrame([(f"{y}-01-0{k}", f"u{k}") for y in (2020, year) for k in (1, 2)], "date string, source_url string")

@@ -13,7 +13,7 @@ from tribune.operators.lemmas import load_model
 from tribune.plans import jobs
 from tribune.sources import rest
 
-JOBS = {n: f for n, f in vars(jobs).items() if inspect.isfunction(f) and not n.startswith("_") and f.__module__ == jobs.__name__}
+JOBS = {n: f for n, f in vars(jobs).items() if inspect.isfunction(f) and not n.startswith("_") and f.__module__ == jobs.__name__ and n not in ("stored", "last_processed")}
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
@@ -28,7 +28,9 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         options["analyzer"] = load_model(spark, model) if model else SimpleAnalyzer()
     if own:
         rest.register(spark)
-    JOBS[args[0]](spark, **options)
+    told = JOBS[args[0]](spark, **options)
+    if told:
+        print(*(f"{k}={v}" for k, v in told.items()))
     return 0
 
 

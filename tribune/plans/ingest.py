@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators.analyzer import Analyzer
 from ..schemas import MANDATORY
+from .keys import digest, once
 
 #: End of a membership that has none yet, and the kind of voting that records presence: fixed values of the data.
 OPEN_END = "2099-12-31"
 ROLL_CALL = "KOHALOLEKU_KONTROLL"
+#: What makes a speech one, and the reason for which a line that is no JSON is rejected.
+KEY = ["source_file", "speaker", "text"]
+MALFORMED = "malformed"
 
 
 def dated(verbatims: DataFrame) -> DataFrame:
@@ -86,12 +90,21 @@ def complete(rows: DataFrame, columns: tuple[str, ...] = MANDATORY) -> tuple[Dat
 
 
 def load(rows: DataFrame, existing: DataFrame | None = None, order: list[Column] | None = None) -> DataFrame:
-    """Speeches to append: complete, first of each (source_file, speaker, text), not there yet, with speech_id hashed from that key."""
-    key = ["source_file", "speaker", "text"]
-    good, _ = complete(rows)
-    once = first_of(good, key, order) if order else good.dropDuplicates(key)
-    fresh = once.join(existing.select(key), key, "left_anti") if existing is not None else once
-    return fresh.withColumn("speech_id", F.xxhash64(*key))
+    """Speeches to append to a table: complete, first of each key, not there yet, with speech_id hashed from the key. Keys are compared by their digests. A
+    store does without reading the existing ones: see keys.append()."""
+    fresh = once(complete(rows)[0], KEY, order)
+    if existing is not None:
+        fresh = fresh.join(existing.select(digest(KEY).alias("digest")), "digest", "left_anti")
+    return fresh.drop("digest").withColumn("speech_id", F.xxhash64(*KEY))
+
+
+def judged(rows: DataFrame, columns: tuple[str, ...] = MANDATORY) -> DataFrame:
+    """rows with `reason` (why a line is no speech: it is no JSON, or lacks columns; null for good ones) and `record`, the line as it was given, of bad ones."""
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns)))
+    reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit(MALFORMED)).when(F.size(missing) > 0, F.concat(F.lit("without "), F.array_join(missing, ", ")))
+    own = [c for c in rows.columns if not c.startswith("_") and c != "text_lemmas"]
+    record = F.coalesce(F.col("_corrupt_record"), F.to_json(F.struct(*own)))
+    return rows.withColumn("reason", reason).withColumn("record", F.when(F.col("reason").isNotNull(), record)).drop("_corrupt_record")
 
 
 def speeches_of(verbatims: DataFrame, history: DataFrame, analyzer: Analyzer) -> DataFrame:

@@ -10,6 +10,7 @@ SPEECH_LINES = (
     " speaker_role string, speaker_faction string, text string, text_lemmas string"
 )
 MANDATORY = ("date", "time", "source_file", "source_url", "speaker", "text")
+REJECTED = "reason string, file string, record string"
 LEMMAS = "speech_id long, text_lemmas string"
 POSTINGS = "speech_id long, lemma string, count long"
 ATTENDANCE = "session_date string, voting_uuid string, member_name string, faction string, status string"

@@ -14,7 +14,6 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from datetime import date, timedelta
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,17 +29,6 @@ def http(url: str, params: dict, timeout: float = 30) -> tuple[int, object]:
         return e.code, None
 
 
-def months(start: str, end: str) -> list[tuple[str, str]]:
-    """The months of [start, end], cut to both ends."""
-    first, last = date.fromisoformat(start), date.fromisoformat(end)
-    out = []
-    while first <= last:
-        following = (first.replace(day=1) + timedelta(days=32)).replace(day=1)
-        out.append((first.isoformat(), min(following - timedelta(days=1), last).isoformat()))
-        first = following
-    return out
-
-
 @dataclass
 class Request(InputPartition):
     """One request of a source."""
@@ -94,7 +82,7 @@ class _Rest(DataSource):
 
 
 class MonthsSource(_Rest):
-    """Options: url, start, end (yyyy-MM-dd), pause. A request per month."""
+    """Options: url, months (JSON list of first and last days), pause. A request per month."""
 
     @classmethod
     def name(cls) -> str:
@@ -102,7 +90,7 @@ class MonthsSource(_Rest):
 
     def requests(self) -> list[Request]:
         o = self.options
-        return [Request(o["url"], {"startDate": a, "endDate": b}, {}) for a, b in months(o["start"], o["end"])]
+        return [Request(o["url"], {"startDate": a, "endDate": b}, {}) for a, b in json.loads(o["months"])]
 
 
 class ListSource(_Rest):

@@ -3,6 +3,7 @@ import json
 from tribune import schemas
 from tribune.__main__ import JOBS, main
 from tribune.operators.analyzer import SimpleAnalyzer
+from tribune.operators.segments import SegmentIndex
 from tribune.plans import jobs
 from tribune.plans.ingest import ROLL_CALL
 from tribune.plans.publish import Aside
@@ -45,8 +46,12 @@ def test_pipeline_of_jobs(spark, tmp_path):
     run("build_index", postings=at("postings"), table="job_index")
     assert spark.table("job_index").count() == 2
     spark.sql("drop table job_index")
+    for _ in range(2):
+        run("update_index", speeches=at("speeches"), folder=at("segments"), table="job_segments")
+    assert {(r.lemma, r["count"]) for r in SegmentIndex(spark, at("segments"), "job_segments").postings().collect()} == {("kliima", 2), ("muutub", 1)}
+    spark.sql("drop table job_segments")
     assert [tuple(r) for r in spark.read.parquet(at("attendance")).collect()] == [("d", "u1", "A B", "", "KOHAL")]
-    assert len(json.loads(json.dumps(sorted(JOBS)))) == 11
+    assert len(json.loads(json.dumps(sorted(JOBS)))) == 12
 
 
 def test_polling_window(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +11,10 @@ from . import schemas
 from .functions import dates
 from .operators import attendance, index, search
 from .operators.analyzer import DictionaryAnalyzer, SimpleAnalyzer
-from .operators.query import build_query, parse_query
+from .operators.query import parse_query
 from .plans import ingest, jobs, samples
 from .service import Service
-from .sources import files, rest
+from .sources import files
 from .streaming import verbatims as stream
 from .tables import scratch
 
@@ -68,7 +67,7 @@ def load_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_speeches(rows, lines)
     for _ in range(2):  # what is there is not loaded again
         jobs.load_speeches(spark, lines, table)
-    return spark.read.schema(schemas.SPEECHES).parquet(table).select("source_file", "speaker", "text", "text_lemmas")
+    return jobs.stored(spark, table, schemas.SPEECHES).select("source_file", "speaker", "text", "text_lemmas")
 
 
 def lemma_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,26 +97,6 @@ def terms_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schemas.POSTINGS).parquet(out)
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bucketed index of the documents, as a saved table."""
-    name = f"postings_{uuid.uuid4().hex}"
-    index.save(index.postings(_docs(spark, sf_dir), ANALYZER), name, buckets=16)
-    return spark.table(name)
-
-
-def stored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match(_stored(spark, sf_dir), parse_query(COMBINED, ANALYZER))
-
-
-def stored_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(samples.speeches(spark, sf_dir), stored_match(spark, sf_dir), 50)
-
-
-def stored_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.match(_stored(spark, sf_dir), parse_query(RARE, ANALYZER))
-    return search.activity(search.attach(samples.speeches(spark, sf_dir).select("speech_id", "date"), found), "monthly")
-
-
 def _plural(spark: SparkSession, sf_dir: str) -> DictionaryAnalyzer:
     """Forms in s with the word without it for their lemma, of all words of the documents."""
     words = _docs(spark, sf_dir).select(F.explode(ANALYZER.tokens(F.col("text"))).alias("form")).where("form like '%s' and length(form) > 3").distinct()
@@ -211,23 +190,11 @@ def service_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer(spark, _service(spark, sf_dir).attendance(), "member_name string, total_sessions long, present_sessions long, attendance_percentage double")
 
 
-def service_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    service = _service(spark, sf_dir)
-    own = service.headers("http://localhost:5173").get("Access-Control-Allow-Origin")
-    return spark.createDataFrame([(service.root()["status"], own, len(service.headers("http://elsewhere")), len(service.search("ja ning")["results"]), len(service.speakers("")["speakers"]))], "status string, origin string, n_other long, n_stopped long, n_empty long")
-
-
 def attendance_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attendance.sort(attendance.stats(samples.attendance(spark, sf_dir)), "present_sessions", ascending=True).limit(100)
     return _answer(spark, [r.asDict() for r in rows.collect()], "member_name string, total_sessions long, present_sessions long, attendance_percentage double")
 
 
-def query_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = build_query([["kliima ", "muutus", " "], [], [""], ["energia"]])
-    groups = parse_query(built + ", ja Kliima", ANALYZER)
-    return spark.createDataFrame([(built, "|".join(" ".join(g) for g in groups))], "query string, parsed string")
-
-
 def polling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("today"))
     last = F.when(F.col("event_id") % 3 == 0, "2023-05-06").when(F.col("event_id") % 3 == 1, "")
@@ -235,42 +202,6 @@ def polling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("event_id", F.date_format("s", "yyyy-MM-dd").alias("start_day"), F.date_format("e", "yyyy-MM-dd").alias("end_day"))
 
 
-def answers(url: str, params: dict) -> tuple[int, object]:
-    """A made-up interface: a sitting a month (March fails), two votings, of which the first has voters, and a member."""
-    if url.endswith("/verbatims"):
-        day = params["startDate"]
-        return (500, None) if day[5:7] == "03" else (200, [{"link": f"http://x/{day.replace('-', '')}0900", "date": f"{day}T09:00", "agendaItems": []}])
-    if url.endswith("/votings"):
-        return 200, [{"votings": [{"uuid": u, "startDateTime": params["startDate"], "type": {"code": ingest.ROLL_CALL}} for u in ("a", "b")]}]
-    if url.endswith("/votings/a"):
-        return 200, {"voters": [{"fullName": "A B", "faction": {"name": "F"}, "decision": {"code": "KOHAL"}}, {"fullName": "C D"}]}
-    if url.endswith("/members"):
-        return 200, [{"firstName": "A", "lastName": "B", "factions": [{"name": "F", "membership": {"startDate": "2020-01-01", "endDate": None}}]}]
-    return 404, None
-
-
-def rest_sittings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rest.register(spark, answers)
-    lines = spark.read.format("rest_months").options(url="http://x/verbatims", start="2024-01-15", end="2024-04-10", pause="0").load()
-    rows = ingest.dated(lines.select(F.from_json("json", schemas.VERBATIMS).alias("r")).select("r.*"))
-    return rows.select("uid", "day", "time")
-
-
-def rest_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rest.register(spark, answers)
-    table = scratch(spark, "attendance")
-    for _ in range(2):  # a voting that is there is not asked again
-        jobs.fetch_attendance(spark, "http://x/votings", table, "2024-01-01", "2024-01-31", pause="0", wait="0")
-    return spark.read.schema(schemas.ATTENDANCE).parquet(table)
-
-
-def rest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rest.register(spark, answers)
-    path = scratch(spark, "factions")
-    jobs.fetch_factions(spark, "http://x/members", path)
-    return files.read_history(spark, path)
-
-
 def stream_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing, out, checkpoint = (scratch(spark, x) for x in ("landing", "lines", "checkpoint"))
     nobody = spark.createDataFrame([], schemas.FACTION_HISTORY)
@@ -300,9 +231,9 @@ def _stream_counts(interval: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        speech_lines, speech_lines_of_year, store_all_years, store_one_year, load_twice, lemma_fill, lemmas_in_two_runs, terms_in_two_runs, stored_match, stored_top50,
-        stored_activity, dictionary_index, dictionary_search, ledger, faction_map, history_building, roll_calls, attendance_rows, service_search, service_activity,
-        service_speakers, service_attendance, service_small, attendance_sorted, query_builder, polling_window, rest_sittings, rest_attendance, rest_members, stream_speeches,
+        speech_lines, speech_lines_of_year, store_all_years, store_one_year, load_twice, lemma_fill, lemmas_in_two_runs, terms_in_two_runs,
+        dictionary_index, dictionary_search, ledger, faction_map, history_building, roll_calls, attendance_rows, service_search, service_activity,
+        service_speakers, service_attendance, attendance_sorted, polling_window, stream_speeches,
     )
 } | {f"stream_counts_{i}": _stream_counts(i) for i in ("daily", "weekly", "monthly")}
 
@@ -327,9 +258,6 @@ def oracles(found: dict[str, str], terms: str, stats: str) -> dict[str, str]:
         "lemma_fill": f"SELECT doc_id AS speech_id, CASE WHEN doc_id % 3 = 0 THEN 'x y' ELSE {_LEMMAS} END AS text_lemmas FROM documents",
         "lemmas_in_two_runs": f"SELECT doc_id AS speech_id, {_LEMMAS} AS text_lemmas FROM documents",
         "terms_in_two_runs": found["term_index"],
-        "stored_match": found["search_combined"],
-        "stored_top50": found["search_top50"],
-        "stored_activity": found["activity_monthly_filled"],
         "dictionary_index": f"WITH {terms} SELECT speech_id, {_PLURAL} AS lemma, sum(cnt)::BIGINT AS count FROM terms GROUP BY 1, 2",
         "dictionary_search": f"WITH {terms} SELECT speech_id, sum(cnt)::BIGINT AS count FROM (SELECT speech_id, {_PLURAL} AS lemma, cnt FROM terms) WHERE lemma IN (SELECT {_PLURAL} FROM (SELECT unnest(['pours', 'this']) AS lemma) WHERE lemma IN (SELECT lemma FROM terms) UNION SELECT lemma FROM (SELECT unnest(['pours', 'this']) AS lemma) WHERE lemma NOT IN (SELECT lemma FROM terms)) GROUP BY speech_id",
         "ledger": "SELECT DISTINCT 'u' || (o_orderkey % 500) AS uid FROM orders WHERE 'u' || (o_orderkey % 500) < 'u4'",
@@ -347,14 +275,9 @@ CASE WHEN event_id % 7 > 1 THEN event_type ELSE '' END AS faction, CASE WHEN eve
         "service_activity": f"SELECT *, row_number() OVER (ORDER BY month) - 1 AS place FROM ({found['activity_monthly_filled']})",
         "service_speakers": ranked(found["top_speakers"], "count DESC, speaker", 12),
         "service_attendance": ranked(stats, "attendance_percentage DESC, total_sessions DESC, member_name", 1_000_000),
-        "service_small": "SELECT 'ok' AS status, 'http://localhost:5173' AS origin, 0::BIGINT AS n_other, 0::BIGINT AS n_stopped, 0::BIGINT AS n_empty",
         "attendance_sorted": ranked(stats, "present_sessions, total_sessions DESC, member_name", 100),
-        "query_builder": "SELECT 'kliima muutus, energia' AS query, 'kliima muutus|energia|kliima' AS parsed",
         "polling_window": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts::DATE - 14, '%Y-%m-%d') ELSE '2019-04-04' END AS start_day,
 CASE WHEN event_id % 3 = 0 THEN '2023-05-06' ELSE strftime(ts, '%Y-%m-%d') END AS end_day FROM events""",
-        "rest_sittings": "SELECT 'http://x/' || strftime(d, '%Y%m%d') || '0900' AS uid, strftime(d, '%Y-%m-%d') AS day, '0900' AS time FROM (SELECT greatest(DATE '2024-01-15', m::DATE) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-04-10', INTERVAL 1 MONTH) AS g(m)) WHERE month(d) <> 3",
-        "rest_attendance": "SELECT * FROM (VALUES ('2024-01-01', 'a', 'A B', 'F', 'KOHAL'), ('2024-01-01', 'a', 'C D', '', '')) AS t(session_date, voting_uuid, member_name, faction, status)",
-        "rest_members": "SELECT 'A B' AS name, 'F' AS faction, '2020-01-01' AS start, '2099-12-31' AS \"end\", 0 AS place",
         "stream_speeches": f"SELECT date, time, source_file, source_url, speaker, speaker_role, text FROM ({found['speech_flatten']})",
         "stream_counts_daily": f"WITH {_LINES} SELECT date, count(*) AS count FROM lines GROUP BY date",
         "stream_counts_weekly": f"WITH {_LINES} SELECT strftime(date::DATE, '%Y-%W') AS week, count(*) AS count FROM lines GROUP BY ALL",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import index, lemmas as lemma_rules
 from ..operators.analyzer import Analyzer
+from ..operators.segments import SegmentIndex
 from ..functions import dates
 from ..sources import files
 from ..sources.store import ROWS, Store
@@ -94,6 +95,15 @@ def build_index(spark: SparkSession, postings: str, table: str) -> None:
     index.save(stored(spark, postings, schemas.POSTINGS), table)
 
 
+def update_index(spark: SparkSession, speeches: str, folder: str, table: str, analyzer: Analyzer) -> None:
+    """Speeches that the segmented index in a folder lacks become a segment of it; small segments are merged, and what no longer counts is deleted."""
+    own = SegmentIndex(spark, folder, table)
+    fresh = stored(spark, speeches, schemas.SPEECHES).select("speech_id", "text").join(own.live().select("speech_id").distinct(), "speech_id", "left_anti")
+    own.add(fresh, analyzer)
+    own.merge()
+    own.clean()
+
+
 def _polled(spark: SparkSession, known: bool, start: str | None, end: str | None, today: date, last: str | None = None) -> tuple[str, str, list[tuple[str, str]]]:
     """The days to ask for, and their months: as given; else from two weeks before today (from the first day of all, where nothing is known) to the last day
     processed, if told, or today. By the same columns as any table of such days."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import job_queries, lemma_queries
+from . import job_queries, lemma_queries, store_queries
 from .functions import dates, numbers, text
 from .operators import attendance, index, search
 from .operators.analyzer import SimpleAnalyzer
@@ -187,7 +187,7 @@ QUERIES: dict[str, Query] = {
     "snippet_350": snippet_350,
     "year_partition_counts": year_partition_counts,
     "percentage_ties": percentage_ties,
-} | job_queries.QUERIES | lemma_queries.QUERIES
+} | job_queries.QUERIES | lemma_queries.QUERIES | store_queries.QUERIES
 
 # --- the same in SQL, stated independently: an alternative is a speech id in a grouped subquery ---
 
@@ -269,4 +269,4 @@ SELECT strftime(greatest(m, lo), '%Y-%m-%d') AS chunk_start, strftime(least(last
     "year_partition_counts": "SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1",
     "percentage_ties": "SELECT k, n, round_even(k / n * 100, 1) AS percent FROM (SELECT DISTINCT l_linenumber::BIGINT AS k, l_orderkey % 200 + 8 AS n FROM lineitem)",
 }
-ORACLES |= job_queries.oracles(ORACLES, _TERMS, _STATS) | lemma_queries.oracles(_TERMS)
+ORACLES |= job_queries.oracles(ORACLES, _TERMS, _STATS) | lemma_queries.oracles(_TERMS) | store_queries.oracles(ORACLES, _TERMS)

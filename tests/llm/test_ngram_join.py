@@ -32,6 +32,40 @@ def plain(rows, threshold=0.8):
     return {i: (links[i], top(i)) for i in ids}
 
 
+def plain_rows(rows):
+    """n_links and the rows of its group, for each row."""
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    found = plain(numbered)
+    groups = defaultdict(list)
+    for k, (_, g) in found.items():
+        groups[g].append(k)
+    return {k: (n, groups[g]) for k, (n, g) in found.items()}
+
+
+def test_repeated_rows_and_ids(spark):
+    t, u, v = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40)), " ".join(f"c{k}" for k in range(40))
+    for rows in (
+        [(1, t), (1, t), (2, t + " zz")],
+        [(1, t), (1, u), (2, t + " zz"), (3, u)],
+        [(5, t), (5, t + " zz"), (5, t + " yy"), (5, None), (5, None), (6, "")],
+        [(9, u), (9, u), (9, u), (8, v), (8, t), (7, v), (7, v + " q"), (9, t)],
+        [(i % 7, x) for i, (_, x) in enumerate(made(random.Random(4), 80))] + [(1, t)] * 40,
+    ):
+        docs = spark.createDataFrame([(i, x, k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, node int").repartition(3)
+        expect = plain_rows(rows)
+        got = nj.near_duplicates(docs).collect()
+        assert sorted((r.doc_id, r.n_links, r.group_id) for r in got) == sorted((i, expect[k][0], min(rows[m][0] for m in expect[k][1])) for k, (i, _) in enumerate(rows))
+        # of each group with words one text stays, once
+        left = nj.filter_first(docs)
+        assert left.columns == docs.columns
+        stay = {r.node for r in left.collect()}
+        for k, (_, group) in expect.items():
+            if not (rows[k][1] or "").split():
+                assert k in stay
+            else:
+                assert len(stay & set(group)) == 1 and all(rows[m][0] == min(rows[g][0] for g in group) for m in stay & set(group))
+
+
 def made(rng, n=240):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     base = [[word() for _ in range(rng.randrange(3, 200))] for _ in range(30)]

@@ -50,12 +50,3 @@ def components(edges: DataFrame) -> DataFrame:
         was = is_
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select("b", "b")).distinct()
-
-
-def grouped(members: DataFrame, verified: DataFrame) -> DataFrame:
-    """members: id, class_id, n_copies (rows of the class, which are copies of one another); verified: x, y, links, as
-    common.link_counts gives them for class ids. Returns id, class_id, group_id and n_links of every member."""
-    links = verified.groupBy("x").agg(F.sum("links").alias("links"))
-    groups = components(verified.select("x", "y"))
-    found = members.join(links, F.col("class_id") == F.col("x"), "left").join(groups, F.col("class_id") == F.col("node"), "left")
-    return found.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))

@@ -2,7 +2,7 @@
 
 1. Sketch. Each text becomes the set of hashes of its five-word shingles (words: split at white space, lower
    case; a text of one to four words has one shingle), a digest of that set and 64 MinHash values.
-   Documents with equal sets form a class; its smallest doc_id represents it.
+   Rows with equal sets form a class, a node of the graph under a hash of that digest; its smallest doc_id represents it.
 2. Candidates. The values are cut into 16 bands; representatives with an equal band meet in a bucket. Buckets of one are
    dropped by a count with partial aggregation before any sketch is shuffled.
 3. Bayesian pruning. The values of a candidate pair are compared eight at a time. After n values with m equal, the
@@ -18,8 +18,8 @@ Buckets and groups of any size are dealt into pairs of blocks of bounded size (c
 hot group is work for many tasks; no pair list and no group is ever gathered. With 16 bands of 4 a pair at similarity
 0.8 is missed with probability 0.0002, one at 0.9 with 3e-8; pruning at a tolerance of one in a million adds less than that (tests simulate both).
 
-Defined cases: null and empty texts have no shingles and are linked with nothing; doc_ids are unique (rows that share one
-are taken as copies of each other only if their texts are); a null doc_id is left out of the join and kept by
+Defined cases: null and empty texts have no shingles and are linked with nothing; repeated rows are copies, each a row of the result and a
+link of the others; rows that share a doc_id but not their text are compared like any two; a null doc_id is left out of the join and kept by
 filter_first(); extra columns are ignored or kept; an empty table gives an empty result.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..tables import cut, drop_scratch
 from .common import Words, across, deal_blocks, forest, in_slices, link_counts, mix, pairs_within, text_chunks, whole_groups
-from .components import components, grouped
+from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -119,8 +119,8 @@ def survivors(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, steps: list[tupl
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, n_chars, set_digest, sketch, bands of every document with a doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null")
+    """doc_id, text_hash, n_shingles, n_chars, set_digest, sketch, bands of every document with a doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash")).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -137,17 +137,18 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(done, len(texts)),
+                        batch.column(2).slice(done, len(texts)),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([len(t) for t in texts], pa.int32()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([s.tobytes() for s in signs], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "n_chars", "set_digest", "sketch", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "n_chars", "set_digest", "sketch", "bands"],
                 )
                 done += len(texts)
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles int, n_chars int, set_digest binary, sketch binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles int, n_chars int, set_digest binary, sketch binary, bands array<long>")
 
 
 def _owned(signs: np.ndarray, band: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,7 +164,7 @@ def _sketches(column: pa.ChunkedArray) -> np.ndarray:
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     steps = least_equal()
     for table, offsets in whole_groups(batches, ["band", "cell_i", "cell_j"]):
-        ids, key, band, block, i, j = (table.column(c).to_numpy() for c in ("doc_id", "band", "band_no", "block", "cell_i", "cell_j"))
+        ids, key, band, block, i, j = (table.column(c).to_numpy() for c in ("node", "band", "band_no", "block", "cell_i", "cell_j"))
         signs = _sketches(table.column("sketch"))
         left, right = [], []
         for a, b in pairs_within(offsets):
@@ -179,13 +180,13 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = mix(mix(key[within].view(np.uint64)) + mix(ids[root[within]].view(np.uint64)) + (i[within].astype(np.uint64) << np.uint64(32)) + j[within].astype(np.uint64))
             # in a cell of two blocks only pairs between them belong to it
             side = np.where(i[within] == j[within], -1, block[within]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[within]), pa.array(band[within]), pa.array(side), table.column("sketch").combine_chunks().take(pa.array(within))], names=["candidates", "doc_id", "band_no", "side", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[within]), pa.array(band[within]), pa.array(side), table.column("sketch").combine_chunks().take(pa.array(within))], names=["candidates", "node", "band_no", "side", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, steps = Words(), least_equal()
     for table, offsets in whole_groups(batches, ["candidates", "cell_i", "cell_j"], rows=256):
-        ids, band, side, block, i, j, copies = (table.column(c).to_numpy() for c in ("doc_id", "band_no", "side", "block", "cell_i", "cell_j", "n_copies"))
+        ids, band, side, block, i, j, copies = (table.column(c).to_numpy() for c in ("node", "band_no", "side", "block", "cell_i", "cell_j", "n_copies"))
         signs, texts = _sketches(table.column("sketch")), table.column("text").to_pylist()
         for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             left, right = [], []
@@ -220,50 +221,80 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield link_counts(ids[lo:hi], copies[lo:hi], a[near], b[near])
 
 
+def _classes(sketches: DataFrame) -> DataFrame:
+    """A row per set of shingles: node, set_digest, first (the smallest of its rows: doc_id, text_hash, n_chars), n_copies, sketch, bands."""
+    some = sketches.where("n_shingles > 0")
+    first = F.min(F.struct("doc_id", "text_hash", "n_chars")).alias("first")
+    found = cut(some.groupBy("set_digest").agg(first, F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    salt = 0
+    while True:  # 64 bits tell billions of sets apart nearly always, and another salt does the rest
+        named = found.withColumn("node", F.xxhash64("set_digest", F.lit(salt)))
+        if named.groupBy("node").count().where("count > 1").isEmpty():
+            return named
+        salt += 1
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document with a doc_id: doc_id, class_id (smallest doc_id with an equal set of shingles), group_id (smallest
-    doc_id reached over links), n_links (other documents at the threshold or above, copies included), kept (doc_id = group_id)."""
+    """One row per row of docs with a doc_id: doc_id, text_hash (xxhash64 of its text), class_id (smallest doc_id with an equal set of shingles), group_id (smallest
+    doc_id reached over links), n_links (other rows at the threshold or above, copies included), kept (whether its doc_id and text are those of its
+    group's first row: of a group one text stays)."""
     sketches = cut(sketch(docs), "sketch")
-    some = sketches.where("n_shingles > 0")
-    classes = some.groupBy("set_digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
-    members = cut(some.select("doc_id", "n_chars", "set_digest").join(classes, "set_digest").select("doc_id", "n_chars", "class_id", "n_copies"), "members")
-    reps = members.where("doc_id = class_id").dropDuplicates(["doc_id"])
-    # buckets with more than one representative
-    banded = some.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band_no", "band"))
+    classes = _classes(sketches)
+    # buckets with more than one class
+    banded = classes.select("node", F.posexplode("bands").alias("band_no", "band"))
     full = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = deal_blocks(banded.join(full, "band"), ["band"], F.col("doc_id"), F.ceil(F.col("n") / BUCKET_ROWS)).drop("n")
-    signs = some.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    dealt = deal_blocks(banded.join(full, "band"), ["band"], F.col("node"), F.ceil(F.col("n") / BUCKET_ROWS)).drop("n")
     pruned = cut(
-        dealt.join(signs, "doc_id")
+        dealt.join(classes.select("node", "sketch"), "node")
         .repartition("band", "cell_i", "cell_j")
         .sortWithinPartitions("band", "cell_i", "cell_j")
-        .mapInArrow(_prune, "candidates long, doc_id long, band_no int, side int, sketch binary"),
+        .mapInArrow(_prune, "candidates long, node long, band_no int, side int, sketch binary"),
         "pruned",
     )
     # exact similarity of the surviving pairs of each group
-    rows = pruned.join(reps.select("doc_id", "n_chars", "n_copies"), "doc_id")
+    rows = pruned.join(classes.select("node", F.col("first.n_chars").alias("n_chars"), "n_copies"), "node")
     sizes = rows.groupBy("candidates").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("chars") / GROUP_CHARS))
     blocks = F.least(blocks, F.col("n"))  # a block of one text is the smallest
-    dealt = deal_blocks(rows.join(sizes, "candidates"), ["candidates"], F.col("doc_id"), blocks).drop("n", "chars", "n_chars")
-    wanted = cut(pruned.select("doc_id").distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    dealt = deal_blocks(rows.join(sizes, "candidates"), ["candidates"], F.col("node"), blocks).drop("n", "chars", "n_chars")
+    wanted = cut(pruned.select("node").distinct().join(classes.select("node", "first.doc_id", "first.text_hash"), "node"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    # one text for each class, however often its row is repeated
+    texts = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text"))
     verified = cut(
-        texts.join(dealt, "doc_id")
+        texts.join(dealt, "node")
         .repartition("candidates", "cell_i", "cell_j")
         .sortWithinPartitions("candidates", "cell_i", "cell_j")
         .mapInArrow(_verify, "x long, y long, links long"),
         "verified",
     )
-    drop_scratch(pruned)
-    linked = grouped(members.select(F.col("doc_id").alias("id"), "class_id", "n_copies"), verified).withColumnRenamed("id", "doc_id")
-    alone = sketches.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    drop_scratch(pruned, wanted)
+    links = verified.groupBy("x").agg(F.sum("links").alias("links"))
+    groups = cut(components(verified.select("x", "y")), "groups")
+    least = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    of_class = classes.select("node", "set_digest", "first", "n_copies").join(links, F.col("node") == F.col("x"), "left").join(groups.join(least, "component").select("node", "least"), "node", "left")
+    of_class = of_class.select("set_digest", F.col("first.doc_id").alias("class_id"), F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    linked = sketches.where("n_shingles > 0").select("doc_id", "text_hash", "set_digest").join(of_class, "set_digest")
+    kept = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    linked = linked.select("doc_id", "text_hash", "class_id", F.col("least.doc_id").alias("group_id"), "n_links", kept.alias("kept"))
+    alone = sketches.where("n_shingles = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def filter_first(docs: DataFrame) -> DataFrame:
-    """docs without the documents that have a smaller one in their group; all columns stay."""
-    dropped = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")), "dropped")
+    """docs with one document of each group, that with the smallest doc_id; all columns stay. Of repeated rows of that document any one stays."""
+    found = cut(near_duplicates(docs), "found")
+    key = [F.col("doc_id").cast("long") == F.col("_doc"), F.xxhash64("text") == F.col("_text")]
+    names = [F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")]
+    dropped = cut(found.where("not kept").select(*names).distinct(), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(dropped, key, "left_anti")
+    repeated = cut(found.where("kept and n_links > 0").groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    n = repeated.count()
+    if not n:
+        return kept
+    repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    again = kept.join(repeated, key, "left_semi")
+    once = again.groupBy(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text")).agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.join(repeated, key, "left_anti").unionByName(once)

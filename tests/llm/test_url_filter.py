@@ -70,3 +70,14 @@ def test_cycles_converge(spark):
     assert sum(abs(got[h][0] - trust[h]) + abs(got[h][1] - distrust[h]) for h in hosts) <= most
     none = u.spread(marked, spark.createDataFrame([], "src string, dst string")).collect()
     assert {r.host: (r.trust, r.distrust) for r in none} == {h: (float(h == "b.org"), float(h == "a.net")) for h in hosts}
+
+
+def test_long_hosts(spark):
+    """A url of 100 KB costs no more than its length; rules fit it as any other."""
+    import time
+
+    hosts = ["a." * 50_000 + "example.net", "." * 100_000 + "net", "b" * 100_000 + ".org", "x." * 50_000 + "nowhere"]
+    pages = spark.createDataFrame([(k, f"http://{h}/en/", None) for k, h in enumerate(hosts)], "page_id long, url string, html string")
+    began = time.time()
+    got = {r.page_id: r.rule for r in u.judge(pages, u.RULES).collect()}
+    assert got == {0: "example.net/en/", 1: "net/", 2: None, 3: None} and time.time() - began < 60

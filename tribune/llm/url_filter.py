@@ -44,9 +44,11 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part, _UPPER, _LOWER), path
 
 
-def _suffixes(host: Column) -> Column:
+def _suffixes(host: Column, labels: int) -> Column:
+    """The last one to `labels` labels of a host (all that a rule can name), so that a long host costs no more than its length."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    first = F.greatest(F.lit(1), F.size(parts) - labels + 1)
+    return F.transform(F.sequence(first, F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.lit(labels)), "."))
 
 
 def _rule_table(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -107,7 +109,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THR
     own = pages.select("host").where("host <> ''").distinct()
     names = own.union(links.select("src")).union(links.select("dst")).distinct()
     table = _rule_table(pages, rules)  # as long as the list of rules in the program
-    fits = names.select("host", F.explode(_suffixes(F.col("host"))).alias("rule_host")).join(F.broadcast(table), "rule_host")
+    labels = max((r.partition("/")[0].count(".") + 1 for r, _ in rules), default=1)
+    fits = names.select("host", F.explode(_suffixes(F.col("host"), labels)).alias("rule_host")).join(F.broadcast(table), "rule_host")
     per_host = fits.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length("rule").alias("long"), "rule", "rule_path", "verdict")), asc=False).alias("rules"))
     hosts = names.join(per_host, "host", "left")
     rule_is = lambda test: F.coalesce(F.exists("rules", test), F.lit(False))

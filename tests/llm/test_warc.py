@@ -89,3 +89,40 @@ def test_archives_of_others(spark, tmp_path):
     assert [r.error.split(":")[0] for r in got if r.error] == ["payload digest differs", "no WARC version line or no end of headers", "not a frame"]
     assert [bytes(r.payload) for r in got if r.record_type in ("response", "resource")] == [body, body, b"plain"]
     assert [warc.uri(x) for x in ("s3a://b/x", "s3n://b/x", "s3://b/x", "/s3a://", "hdfs://n/x")] == ["s3://b/x", "s3://b/x", "s3://b/x", "/s3a://", "hdfs://n/x"]
+
+
+def test_damaged_dictionaries_are_rows(spark, tmp_path):
+    """An archive that is broken in any part gives a row that says so, and the others are read."""
+    import random
+    import struct
+
+    data, records = made()
+    (size,) = struct.unpack("<I", data[4:8])
+    rng = random.Random(6)
+    broken = [data[:k] for k in (1, 3, 4, 7, 8, 9, 8 + size - 1)] + [data[:8] + bytes(rng.randrange(256) for _ in range(size)) + data[8 + size :]]
+    broken += [data[:8] + data[8:12] + bytes(size - 4) + data[8 + size :], data[:4] + struct.pack("<I", 2**32 - 1) + data[8:], data[:12] + bytes(b ^ 0x55 for b in data[12 : 8 + size]) + data[8 + size :]]
+    for k, own in enumerate(broken):
+        (tmp_path / f"{k}.warc.zst").write_bytes(own)
+    (tmp_path / "good.warc.zst").write_bytes(data)
+    archives = spark.createDataFrame([(str(p),) for p in sorted(tmp_path.iterdir())], "path string")
+    got = warc.read(archives, str(tmp_path)).collect()
+    assert {r.page_id for r in got if not r.error} == set(range(len(records)))
+    assert sum(bool(r.error) for r in got) >= len(broken)
+
+
+def test_skippable_frames_between_records():
+    import struct
+
+    data, records = made(5)
+    (size,) = struct.unpack("<I", data[4:8])
+    at = 8 + size
+    for magic in (0x184D2A50, 0x184D2A5D, 0x184D2A5F):
+        frame = struct.pack("<II", magic, 700) + b"q" * 700
+        for chunk in (3, 1 << 18):
+            assert list(warc.frames(io.BytesIO(data[:at] + frame + data[at:] + frame), chunk)) == records
+    plain = io.BytesIO()
+    w = warc.Writer(plain, [])
+    w.write(records[0])
+    assert list(warc.frames(io.BytesIO(struct.pack("<II", 0x184D2A50, 3) + b"abc" + plain.getvalue()))) == records[:1]
+    with pytest.raises(warc.BadRecord):
+        list(warc.frames(io.BytesIO(data + frame[:100])))

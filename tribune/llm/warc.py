@@ -42,6 +42,8 @@ from ..tables import cut, scratch
 
 #: Magic number of the skippable frame that holds a dictionary, of Zstandard frames and of a bare dictionary: fixed values.
 DICT_MAGIC, FRAME_MAGIC, RAW_DICT_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
+#: The first of the sixteen magic numbers of skippable frames, a fixed value of the format.
+SKIPPABLE = 0x184D2A50
 #: A dictionary and the bytes of records that it is trained on, at most.
 DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS = 16_384, 2_000_000, 200
 #: Uncompressed bytes after which a task begins a new archive.
@@ -176,36 +178,78 @@ class Writer:
         self.written += len(data)
 
 
-def frames(stream: BinaryIO, chunk: int = 1 << 18) -> Iterator[bytes]:
-    """The records of an archive, a frame at a time."""
-    dictionary = None
-    held = stream.read(8)
-    if held[:4] == DICT_MAGIC:
-        (size,) = struct.unpack("<I", held[4:])
-        raw = stream.read(size)
-        if len(raw) != size:
-            raise BadRecord("the dictionary's frame is cut short")
+class _Input:
+    """A stream of which some bytes are read ahead."""
+
+    def __init__(self, stream: BinaryIO, chunk: int):
+        self.stream, self.chunk, self.held = stream, chunk, b""
+
+    def ahead(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end; they stay."""
+        while len(self.held) < n and (more := self.stream.read(max(self.chunk, n - len(self.held)))):
+            self.held += more
+        return self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.ahead(n)
+        self.held = self.held[n:]
+        return out
+
+    def skip(self, n: int) -> int:
+        done = min(n, len(self.held))
+        self.held = self.held[done:]
+        while done < n and (more := self.stream.read(min(self.chunk, n - done))):
+            done += len(more)
+        return done
+
+
+def _dictionary(raw: bytes) -> zstandard.ZstdDecompressor:
+    try:
         if raw[:4] == FRAME_MAGIC:
             raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 26)
         elif raw[:4] != RAW_DICT_MAGIC:
             raise BadRecord("the leading skippable frame holds no dictionary")
-        dictionary, held = zstandard.ZstdCompressionDict(raw), b""
-    zstd = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while True:
-        if not held and not (held := stream.read(chunk)):
-            return
+        one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        one.decompressobj()  # what is wrong with a dictionary shows when it is used
+        return one
+    except zstandard.ZstdError as e:
+        raise BadRecord(f"the dictionary is damaged: {e}") from e
+
+
+def frames(stream: BinaryIO, chunk: int = 1 << 18) -> Iterator[bytes]:
+    """The records of an archive, a frame at a time. Skippable frames after the leading one are skipped, as the format has it."""
+    given = _Input(stream, chunk)
+    zstd, first = zstandard.ZstdDecompressor(), True
+    while head := given.ahead(8):
+        if len(head) < 4:
+            raise BadRecord("a frame is cut short")
+        if SKIPPABLE <= struct.unpack("<I", head[:4])[0] < SKIPPABLE + 16:
+            if len(head) < 8:
+                raise BadRecord("a skippable frame is cut short")
+            given.take(8)
+            (size,) = struct.unpack("<I", head[4:])
+            if first and head[:4] == DICT_MAGIC:
+                if len(raw := given.take(size)) != size:
+                    raise BadRecord("the dictionary's frame is cut short")
+                zstd = _dictionary(raw)
+            elif given.skip(size) != size:
+                raise BadRecord("a skippable frame is cut short")
+            first = False
+            continue
+        first = False
         one, parts = zstd.decompressobj(), []
         while True:
+            held = given.held or given.stream.read(chunk)
+            given.held = b""
+            if not held:
+                raise BadRecord("a record's frame is cut short")
             try:
                 parts.append(one.decompress(held))
             except zstandard.ZstdError as e:
                 raise BadRecord(f"not a frame: {e}") from e
-            held = b""
             if one.eof:
-                held = one.unused_data
+                given.held = one.unused_data
                 break
-            if not (held := stream.read(chunk)):
-                raise BadRecord("a record's frame is cut short")
         yield b"".join(parts)
 
 

@@ -57,6 +57,22 @@ def test_words(of):
             assert of.word(word.encode()) == LIBRARY.encode(word, add_special_tokens=False).ids
 
 
+def test_words_side_by_side(of):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß'1") for _ in range(rng.randrange(1, 16))).encode() for _ in range(3000)] + [b"a", b"ab", b"a" * 32]
+    assert of.side_by_side(words) == [" ".join(map(str, of.word(w))) for w in words] and of.side_by_side([]) == []
+
+
+def test_learning_ahead(monkeypatch):
+    monkeypatch.setattr(chunked_bpe, "PIECES_HELD", 50)
+    own = chunked_bpe.Codec(MODEL)
+    for k in range(4):
+        some = [own.normalised(t) for t in texts(6, k)]
+        own.learn(some)
+        for t in some:
+            assert own.ids(t) == " ".join(map(str, LIBRARY.encode(t, add_special_tokens=False).ids)) or "<|" in t
+
+
 def test_chunks_join_exactly(of, monkeypatch):
     for usual in (4, 64, 1024):
         monkeypatch.setattr(chunked_bpe, "USUAL", usual)

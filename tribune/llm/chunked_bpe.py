@@ -41,8 +41,10 @@ from .common import in_slices, text_chunks
 LEAST, USUAL, MOST = 256, 1024, 8192
 #: Pieces of text (between spaces) whose ids a worker remembers before it starts afresh.
 PIECES_HELD = 300_000
-#: Symbols up to which a word is merged by looking at all pairs.
-SHORT = 128
+#: Symbols up to which words are merged side by side, and up to which one word is merged by looking at all its pairs.
+NARROW, SHORT = 32, 128
+#: Characters of texts whose new words are merged side by side.
+AHEAD = 1_000_000
 
 #: White space, fixed values of the Unicode standard.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -53,6 +55,9 @@ _ODD = re.compile(r"[^\x00-\u0557\u1e00-\u1eff\u2000-\u2064\u2190-\u22ff\u3041-\
 #: What the tokenizer's file must say, fixed values of the format.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
+#: The rank of pairs that are not merged.
+_NONE = np.int64(2**62)
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -82,6 +87,8 @@ class Codec(dict):
         self.last = [vocab[c + suffix] for c in byte_letters()]
         # rank and result of a pair's merge in one number, by both ids in one
         self.merges = {vocab[a] << 32 | vocab[b]: rank << 32 | vocab[a.removesuffix(suffix) + b] for rank, (a, b) in enumerate(bpe["merges"])}
+        self.keys = np.array(sorted(self.merges), dtype=np.int64)
+        self.found = np.array([self.merges[k] for k in self.keys.tolist()], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {str(i): t for t, i in [*vocab.items(), *self.special.items()]}
@@ -102,17 +109,80 @@ class Codec(dict):
         return [self.special[s] if k % 2 else self.normalised(s) for k, s in enumerate(self.specials.split(text)) if s]
 
     def __missing__(self, piece: str) -> str:
-        if len(self) >= PIECES_HELD:
-            self.clear()
-        if _ODD.search(piece):
-            words = [piece[b:e] for _, (b, e) in self.library.pre_tokenizer.pre_tokenize_str(piece)]
-        else:
-            words = self.words.findall(piece)
-        out = " ".join(" ".join(map(str, self.word(w.encode()))) for w in words)
-        if len(piece) <= 64:
+        out = " ".join(" ".join(map(str, self.word(w.encode()))) for w in self.words_of(piece))
+        if len(piece) <= 64 and len(self) < PIECES_HELD:
             self[piece] = out
         return out
 
+    def words_of(self, piece: str) -> list[str]:
+        if _ODD.search(piece):
+            return [piece[b:e] for _, (b, e) in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+        return self.words.findall(piece)
+
+    def learn(self, texts: list[str]) -> None:
+        """Find the ids of the pieces of normalised texts that are not known yet, all at once. Those of earlier texts may be forgotten, never those of these."""
+        pieces = {p for text in texts for p in text.split(" ")}
+        if len(self) + len(pieces) > PIECES_HELD:
+            for p in [p for p in self if p not in pieces]:
+                del self[p]
+        new = [p for p in pieces if p not in self and len(p) <= 64]
+        split = [self.words_of(p) for p in new]
+        words = {w for own in split for w in own}
+        short = [w for w in words if len(w.encode()) <= NARROW]
+        ids = dict(zip(short, self.side_by_side([w.encode() for w in short]), strict=True))
+        for w in words - ids.keys():
+            ids[w] = " ".join(map(str, self.word(w.encode())))
+        self.update((p, " ".join(map(ids.__getitem__, own))) for p, own in zip(new, split, strict=True))
+
+    def side_by_side(self, words: list[bytes]) -> list[str]:
+        """Ids, in decimals, of words of up to NARROW bytes: in each round every word merges its pair of least rank, the first of several."""
+        out = [""] * len(words)
+        of_size: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            of_size.setdefault(-(-len(w) // 4), []).append(k)
+        for width, own in of_size.items():
+            for k, ids in zip(own, self._merged([words[k] for k in own], 4 * width), strict=True):
+                out[k] = ids
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and result of the merges of pairs; _NONE where there is none."""
+        pairs = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        return np.where(self.keys[at] == pairs, self.found[at], _NONE)
+
+    def _merged(self, words: list[bytes], width: int) -> list[str]:
+        n, sizes = len(words), np.array([len(w) for w in words])
+        rows = np.arange(n)
+        held = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(n, width)
+        ids = np.full((n, width + 2), -1, dtype=np.int64)  # a column before and one after
+        ids[:, 1:-1] = np.array(self.first, dtype=np.int64)[held]
+        ids[rows, sizes] = np.array(self.last, dtype=np.int64)[held[rows, sizes - 1]]
+        column = np.arange(width + 2)
+        ids[column > sizes[:, None]] = -1
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        todo = rows
+        own, own_ranks = ids, ranks
+        while True:
+            place = own_ranks.argmin(axis=1)
+            best = own_ranks[np.arange(len(todo)), place]
+            some = best < _NONE
+            if not some.any():
+                break
+            todo, place, best = todo[some], place[some], best[some]
+            at = np.arange(len(todo))
+            # what stands behind the pair moves up by one, and two pairs are new
+            behind = np.minimum(column + (column > place[:, None]), width + 1)
+            own = np.take_along_axis(own[some], behind, axis=1)
+            own[:, -1] = -1
+            own[at, place] = best & 0xFFFFFFFF
+            own_ranks = np.take_along_axis(own_ranks[some], np.minimum(behind[:, :-1], width), axis=1)
+            own_ranks[:, -1] = _NONE
+            own_ranks[at, place - 1] = self._ranks(own[at, place - 1], own[at, place])
+            own_ranks[at, place] = self._ranks(own[at, place], own[at, place + 1])
+            ids[todo] = own
+        return [" ".join(map(str, row[1 : 1 + k])) for row, k in zip(ids.tolist(), (ids >= 0).sum(axis=1).tolist(), strict=True)]
+
     def word(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of least rank is merged, the first of several, until no pair can be."""
         ids = [*(self.first[b] for b in word[:-1]), self.last[word[-1]]]
@@ -361,11 +431,24 @@ def _encode(shared, results: Results) -> Callable[[Batches], Batches]:
 
     def rows(batches: Batches) -> Iterator[tuple[int, tuple]]:
         of = codec(shared.value)
+        held: list[tuple] = []
+        n = 0
+
+        def end() -> Iterator[tuple[int, tuple]]:
+            of.learn([s for _, sections, _, _ in held for s in sections if isinstance(s, str)])
+            for own in held:
+                yield from rows_of(*own, of)
+
         for batch in batches:
             keys, lends, borrows = (batch.column(c) for c in ("key", "lends", "borrows"))
             for k, packed in enumerate(batch.column("packed")):
                 text = zstandard.decompress(packed.as_py()).decode()
-                yield from rows_of(keys[k].as_py(), of.sections(text), set(lends[k].as_py() or ()), set(borrows[k].as_py() or ()), of)
+                held.append((keys[k].as_py(), of.sections(text), set(lends[k].as_py() or ()), set(borrows[k].as_py() or ())))
+                n += len(text)
+                if n >= AHEAD:
+                    yield from end()
+                    held, n = [], 0
+        yield from end()
 
     return lambda batches: _flushed(rows(batches), kinds)
 

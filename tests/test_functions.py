@@ -83,3 +83,16 @@ def test_strip_takes_spaces_of_any_kind(spark):
 
     got = spark.createDataFrame([("\u00a0 Esimees A\u3000",)], "t string").select(text.strip(F.col("t")).alias("t")).first().t
     assert got == "Esimees A"
+
+
+def test_all_ties_up_to_20000(spark):
+    """Every share whose tenths could be a tie (20 * 100 * k / n a whole odd number), and its neighbours, rounds as Python does."""
+    from pyspark.sql import functions as F
+
+    n = spark.range(1, 20_001).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(1999), F.lit(2))).alias("odd"))
+    ties = n.where("(odd * n) % 2000 = 0").select("n", (F.col("odd") * F.col("n") / 2000).cast("long").alias("k"))
+    near = ties.select("n", F.explode(F.array("k", F.col("k") + 1, F.col("k") - 1)).alias("k")).where("k between 0 and n").distinct()
+    got = near.select("n", "k", numbers.percentage(F.col("k"), F.col("n")).alias("p")).toPandas()
+    assert len(got) > 100_000
+    wrong = [(n, k, p) for n, k, p in zip(got.n, got.k, got.p) if p != round(k / n * 100, 1)]
+    assert not wrong, wrong[:5]

@@ -142,3 +142,41 @@ def test_streaming_counts_are_batch_counts(spark, tmp_path):
     for r in spark.table("day_counts").collect():
         got[r.date] = max(got.get(r.date, 0), r["count"])
     assert got == {d: days.count(d) for d in days}
+
+
+@pytest.mark.parametrize("interval", ["weekly", "monthly"])
+def test_calendar_periods_end(spark, tmp_path, interval):
+    """Ten years of days, a file a year: counts are those of a batch, and only what the watermark has not passed keeps state."""
+    from datetime import date, timedelta
+
+    from pyspark.sql import functions as F
+
+    from tribune.functions import dates
+
+    first = date(2010, 1, 1)
+    days = [(first + timedelta(days=k)).isoformat() for k in range(0, 3652, 3)]
+    landing = tmp_path / "in"
+    landing.mkdir()
+    schema = "date string"
+    query_of = lambda: (
+        stream.counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(landing)), interval)
+        .writeStream.outputMode("update").foreachBatch(lambda batch, k: batch.write.mode("overwrite").json(f"{tmp_path}/out/batch={k}"))
+        .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    )
+    states = []
+    for y in range(2010, 2020):
+        own = [d for d in days if d.startswith(str(y))]
+        (landing / f"{y}.json").write_text("\n".join(json.dumps({"date": d}) for d in [*own, "no date"]))
+        query = query_of()
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    name = {"weekly": "week", "monthly": "month"}[interval]
+    batch = {r[0]: r[1] for r in spark.createDataFrame([(d,) for d in days], schema).groupBy(dates.period(F.col("date"), interval)[0]).count().collect()}
+    changed = spark.read.schema(f"{name} string, count long, batch int").option("basePath", f"{tmp_path}/out").json(f"{tmp_path}/out")
+    got = {r[0]: r[1] for r in changed.groupBy(name).agg(F.max_by("count", "batch")).collect()}
+    assert got == batch and max(states) <= {"weekly": 4, "monthly": 2}[interval], states
+    # what comes after its period was closed does not count again
+    (landing / "late.json").write_text(json.dumps({"date": "2012-02-02"}))
+    query_of().awaitTermination()
+    again = {r[0]: r[1] for r in changed.groupBy(name).agg(F.max_by("count", "batch")).collect()}
+    assert again == got

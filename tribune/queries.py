@@ -153,6 +153,13 @@ def percentage_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "n", numbers.percentage(F.col("k"), F.col("n")).alias("percent"))
 
 
+def percentage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares with up to 20,000 sittings, ties among them: the number of an order's part and one of the multiples that can tie."""
+    rows = samples.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1250 * 16 + 16).alias("n"), ((F.col("l_partkey") * 2 + 1) % 2000).alias("odd"))
+    shares = rows.select("n", F.expr("(odd * n) div 2000").alias("k")).distinct()
+    return shares.select("k", "n", numbers.percentage(F.col("k"), F.col("n")).alias("percent"))
+
+
 QUERIES: dict[str, Query] = {
     "term_index": term_index,
     "lemma_dictionary": lemma_dictionary,
@@ -187,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "snippet_350": snippet_350,
     "year_partition_counts": year_partition_counts,
     "percentage_ties": percentage_ties,
+    "percentage_exact": percentage_exact,
 } | job_queries.QUERIES | lemma_queries.QUERIES | store_queries.QUERIES
 
 # --- the same in SQL, stated independently: an alternative is a speech id in a grouped subquery ---
@@ -268,5 +276,10 @@ SELECT strftime(greatest(m, lo), '%Y-%m-%d') AS chunk_start, strftime(least(last
     "snippet_350": "SELECT doc_id, left(text, 350) || '...' AS snippet FROM documents",
     "year_partition_counts": "SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1",
     "percentage_ties": "SELECT k, n, round_even(k / n * 100, 1) AS percent FROM (SELECT DISTINCT l_linenumber::BIGINT AS k, l_orderkey % 200 + 8 AS n FROM lineitem)",
+    # the double's exact part behind the point, in whole numbers of 2^-60
+    "percentage_exact": """WITH s AS (SELECT DISTINCT l_orderkey % 1250 * 16 + 16 AS n, (((l_partkey * 2 + 1) % 2000) * (l_orderkey % 1250 * 16 + 16)) // 2000 AS k FROM lineitem),
+x AS (SELECT k, n, floor(k / n * 100)::BIGINT AS w, ((k / n * 100 - floor(k / n * 100)) * 1152921504606846976.0::DOUBLE)::HUGEINT * 10 AS p FROM s),
+t AS (SELECT k, n, w * 10 + p // 1152921504606846976 AS t, 2 * (p % 1152921504606846976) AS rest FROM x)
+SELECT k, n, ((t + CASE WHEN rest > 1152921504606846976 OR (rest = 1152921504606846976 AND t % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE) / 10 AS percent FROM t""",
 }
 ORACLES |= job_queries.oracles(ORACLES, _TERMS, _STATS) | lemma_queries.oracles(_TERMS) | store_queries.oracles(ORACLES, _TERMS)

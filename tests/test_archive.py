@@ -1,0 +1,51 @@
+"""Newest first: the rows of a full search, from as few periods as they take."""
+
+import pytest
+
+from tribune.operators import archive, index, search
+from tribune.operators.analyzer import SimpleAnalyzer
+from tribune.operators.query import parse_query
+from tribune.sources.store import Store
+
+ANALYZER = SimpleAnalyzer()
+
+
+@pytest.fixture(scope="module")
+def speeches(spark):
+    rows = []
+    for k in range(400):
+        date = f"{2010 + k % 12}-{1 + k % 7:02d}-0{1 + k % 9}" if k % 50 else (None if k % 100 else "no date")
+        rows.append((k, date, f"{9 + k % 3:02d}00", f"s{k % 5}", f"often {'rare ' if k % 97 == 5 else ''}{'old' if k % 12 == 0 else 'new'} words {k}", f"u{k}"))
+    return spark.createDataFrame(rows, "speech_id long, date string, time string, speaker string, text string, source_url string")
+
+
+@pytest.mark.parametrize("months", [False, True])
+def test_newest(spark, tmp_path, speeches, months):
+    store = Store(spark, str(tmp_path / "s"))
+    assert archive.newest(store, [["often"]], 5)[0].collect() == []
+    for k in range(2):
+        archive.add(store, speeches.where(f"speech_id % 2 = {k}"), ANALYZER, months)
+    archive.add(store, speeches.limit(0), ANALYZER, months)
+    postings = index.postings(speeches, ANALYZER)
+    for query, limit in (("often", 10), ("often words, rare", 70), ("rare", 50), ("old", 3), ("often", 1000), ("nowhere", 5), ("", 5)):
+        groups = parse_query(query, ANALYZER)
+        got, read = archive.newest(store, groups, limit)
+        want = search.search(speeches, search.match(postings, groups), limit)
+        assert got.columns == want.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()], query
+        periods = sorted({p for part in store.parts(archive.POSTINGS) for p in part["periods"]}, reverse=True)
+        assert read == periods[: len(read)]
+        if query == "often" and limit == 10:
+            assert len(read) <= (7 if months else 3)  # what is no date sorts first
+        if query in ("rare", "nowhere"):
+            assert read == periods
+
+
+def test_only_the_periods_asked_are_read(spark, tmp_path, speeches):
+    store = Store(spark, str(tmp_path / "s"))
+    archive.add(store, speeches.where("date like '20%'"), ANALYZER)
+    got, read = archive.newest(store, [["often"]], 10)
+    assert read == ["d2021"]
+    rows = archive._read(store, archive.POSTINGS, archive._POSTINGS, read)
+    assert {f.split("period=")[1][:5] for f in rows.inputFiles()} >= {"d2021"}
+    plan = search.match(rows, [["often"]], also=("date", "time"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan and "EqualTo(lemma,often)" in plan

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tribune import schemas
 from tribune.__main__ import JOBS, main
 from tribune.operators.analyzer import SimpleAnalyzer
@@ -140,5 +142,36 @@ def test_store(spark, tmp_path):
     assert read() == ["2020-01-01", "2020-01-02", f"{year}-01-01", f"{year}-01-02"]
 
 
+def test_stores_keep_bytes(spark, tmp_path):
+    """Both layouts, with lines that are none and fields nobody knows, arrive as they were; a crash leaves no name that counts."""
+    import hashlib
+
+    from tribune.sources import mirror
+
+    store, back = tmp_path / "store", tmp_path / "back"
+    (store / "year=2023").mkdir(parents=True)
+    contents = {"2024.jsonl": b'{"date": "2024-01-01", "new": 1}\nnot json\n', "2022.jsonl": b"", "year=2023/part-0.json": "\xff õ".encode() * 300_000, "year=2023/part-1.json": b"{}"}
+    for name, data in contents.items():
+        (store / name).write_bytes(data)
+    for name in ("notes.txt", ".2021.jsonl", "x2020.json"):
+        (store / name).write_bytes(b"other")
+    jobs.download(spark, str(store), str(back), "2024")
+    assert sorted(p.name for p in back.rglob("*") if p.is_file() and not p.name.endswith(".crc")) == ["2024.jsonl"]
+    jobs.download(spark, str(store), str(back))  # nothing is there of the current year
+    (back / "year=2023").mkdir()
+    (back / "year=2023" / "old.json").write_bytes(b"{}")
+    (back / "2019.jsonl").write_bytes(b"{}")
+    got = {r.name: (r.bytes, r.sha256) for r in mirror.mirror(spark, str(store), str(back)).collect()}
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+    there = {str(p.relative_to(back)): p.read_bytes() for p in back.rglob("*.json*")}
+    assert there == contents | {"2019.jsonl": b"{}"}
+    assert files.read_speeches(spark, str(back / "2024.jsonl")).where("date = '2024-01-01'").count() == 1
+    # a file that changes while it is copied
+    with pytest.raises(mirror.Broken):
+        mirror.copy_file(mirror._open(str(store / "2024.jsonl")), mirror._open(str(back / "2030.jsonl")), 7)
+    assert not list(back.glob("*2030*")) and not list(back.glob(".2030*"))
+    assert mirror.mirror(spark, str(tmp_path / "none"), str(back)).count() == 0
+
+
 def test_usage(capsys):
     assert main([]) == 2 and "load_speeches" in capsys.readouterr().out

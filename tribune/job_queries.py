@@ -57,7 +57,7 @@ def store_one_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, back = scratch(spark, "store"), scratch(spark, "back")
     jobs.upload(spark, _written(spark, sf_dir), store)
     jobs.download(spark, store, back, "1996")
-    jobs.download(spark, store, back)  # the current year has no speeches and changes nothing
+    jobs.download(spark, store, back)  # nothing is there of the current year, so nothing changes
     return files.read_speeches(spark, back).select("date", "source_url")
 
 

@@ -20,13 +20,14 @@ def _all(groups: list[list[str]]) -> list[str]:
     return list(dict.fromkeys(w for g in groups for w in g))
 
 
-def match(index: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """(speech_id, count) of matches, from the index: one filtered scan and one aggregation for any number of groups."""
+def match(index: DataFrame, groups: list[list[str]], also: tuple[str, ...] = ()) -> DataFrame:
+    """(speech_id, count) of matches, from the index: one filtered scan and one aggregation for any number of groups. also: columns of the
+    speech that the index repeats, returned with them."""
     if not groups:
-        return index.select("speech_id", "count").limit(0)
+        return index.select("speech_id", "count", *also).limit(0)
     hit = [F.count_if(F.col("lemma").isin(g)).alias(f"g{k}") for k, g in enumerate(groups)]
-    found = index.where(F.col("lemma").isin(_all(groups))).groupBy("speech_id").agg(F.sum("count").alias("count"), *hit)
-    return found.where(reduce(or_, (F.col(f"g{k}") == len(g) for k, g in enumerate(groups)))).select("speech_id", "count")
+    found = index.where(F.col("lemma").isin(_all(groups))).groupBy("speech_id", *also).agg(F.sum("count").alias("count"), *hit)
+    return found.where(reduce(or_, (F.col(f"g{k}") == len(g) for k, g in enumerate(groups)))).select("speech_id", "count", *also)
 
 
 def match_texts(speeches: DataFrame, groups: list[list[str]], analyzer: Analyzer) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators.analyzer import Analyzer
 from ..operators.segments import SegmentIndex
 from ..functions import dates
 from ..sources import files
+from ..sources.mirror import mirror
 from ..sources.store import ROWS, Store
 from ..tables import cut, drop_scratch
 from . import ingest, keys
@@ -163,15 +164,15 @@ def fetch_attendance(spark: SparkSession, url: str, attendance: str, start: str
 
 
 def upload(spark: SparkSession, lines: str, store: str) -> None:
-    """All speech files into an object store (any filesystem that Spark writes), in place of what is there, by year."""
-    files.copy(spark, lines, store)
+    """All speech files into an object store, byte for byte, in place of what is there of their years."""
+    mirror(spark, lines, store)
 
 
 def download(spark: SparkSession, store: str, lines: str, year: str | None = None) -> None:
     """The speech files of one year, by default the current one, out of an object store; a year that is missing gives none."""
-    files.copy(spark, store, lines, int(year or date.today().year))
+    mirror(spark, store, lines, int(year or date.today().year))
 
 
 def download_all(spark: SparkSession, store: str, lines: str) -> None:
     """The speech files of all years out of an object store."""
-    files.copy(spark, store, lines)
+    mirror(spark, store, lines)

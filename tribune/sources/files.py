@@ -55,10 +55,3 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def append_ledger(uids: DataFrame, path: str) -> None:
     uids.select("uid").distinct().write.mode("append").json(path)
-
-
-def copy(spark: SparkSession, source: str, target: str, year: int | None = None) -> None:
-    """Speech lines from one folder of year folders to another, all years or one; years that are there are replaced, others stay."""
-    rows = read_or_empty(spark, source, f"{SPEECH_LINES}, year int")
-    rows = rows.where(F.col("year") == year) if year is not None else rows
-    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("year").json(target)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .operators import index, search
+from .operators import archive, search
 from .operators.analyzer import SimpleAnalyzer
 from .operators.query import parse_query
 from .operators.segments import LEMMAS, SegmentIndex
@@ -60,6 +60,14 @@ def stored_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.activity(search.attach(samples.speeches(spark, sf_dir).select("speech_id", "date"), found), "monthly")
 
 
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest matches by periods, read from the newest back; those of a second arrival among them."""
+    store = Store(spark, scratch(spark, "archive"))
+    for k in range(2):
+        archive.add(store, samples.speeches(spark, sf_dir).where(F.col("speech_id") % 2 == k), ANALYZER)
+    return archive.newest(store, parse_query(COMBINED, ANALYZER), 50)[0]
+
+
 def _in_arrivals(spark: SparkSession, sf_dir: str) -> tuple[SegmentIndex, list[int]]:
     """Documents by the remainder of their number by three, one arrival each; the last id after each."""
     own, last = _new(spark, "arrivals"), []
@@ -118,7 +126,7 @@ def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (stored_build, stored_match, stored_top50, stored_activity, index_in_arrivals, index_in_arrivals_search, lemma_ids, rejected_lines)
+    f.__name__: f for f in (stored_build, stored_match, stored_top50, stored_activity, newest_first, index_in_arrivals, index_in_arrivals_search, lemma_ids, rejected_lines)
 }
 
 
@@ -129,6 +137,7 @@ def oracles(found: dict[str, str], terms: str) -> dict[str, str]:
         "stored_match": found["search_combined"],
         "stored_top50": found["search_top50"],
         "stored_activity": found["activity_monthly_filled"],
+        "newest_first": found["search_top50"],
         "index_in_arrivals": f"WITH {terms} SELECT speech_id, lemma, cnt AS count FROM terms WHERE speech_id % 20 = 7 OR speech_id % 10 NOT IN (4, 7)",
         "index_in_arrivals_search": f"SELECT * FROM ({found['search_combined']}) WHERE speech_id % 10 <> 7",
         "lemma_ids": f"WITH {terms} SELECT lemma, min(speech_id % 3)::INTEGER AS arrival, true AS dense FROM terms GROUP BY lemma",

@@ -16,19 +16,40 @@ def test_decoder_finds_the_nearest_point():
 
 
 @pytest.mark.parametrize(("cosine", "least"), [(0.9, 0.95), (0.95, 0.999)])
-def test_recall_of_pairs(cosine, least):
+@pytest.mark.parametrize("n", [5_000, 20_000, 1_000_000, 5_000_000, 50_000_000])
+def test_recall_of_pairs(cosine, least, n):
+    setting = la.setting_for(n)
     rng = np.random.default_rng(2)
-    a = rng.normal(size=(3000, 64))
+    a = rng.normal(size=(3000 if n < 100_000 else 800, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     u = rng.normal(size=a.shape)
     u -= (u * a).sum(axis=1, keepdims=True) * a
     b = cosine * a + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
-    x, y = la.cells(a), la.cells(b)
+    x, y = (la.cells(v, setting) for v in (a, b))
     met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any(axis=(1, 2))
     signs = ((a @ la._signs(64) > 0) != (b @ la._signs(64) > 0)).sum(axis=1) <= la.MOST_DIFFERENT
     assert (met & signs).mean() >= least
 
 
+def test_meetings_stay_few(capsys):
+    """How many others a random vector meets by chance does not grow with their number."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(80_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    meetings = {}
+    for n in (5_000, 20_000, 80_000):
+        setting = la.setting_for(n)
+        own = np.concatenate([la.cells(vectors[k : k + 5000], setting._replace(probes=1))[:, :, 0] for k in range(0, n, 5000)])
+        some = la.cells(vectors[:400], setting)
+        found = 0
+        for t in range(setting.tables):
+            cells = np.sort(own[:, t])
+            found += (np.searchsorted(cells, some[:, t], "right") - np.searchsorted(cells, some[:, t], "left")).sum() - len(some)
+        meetings[n] = 2 * found / len(some)  # it is probed as often as it probes
+    print("meetings a vector:", meetings)
+    assert max(meetings.values()) <= 60, meetings
+
+
 def test_links(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 24))
@@ -90,5 +111,5 @@ def test_a_pair_has_one_first_cell():
     first = la.first_cells(keys, a, b)
     assert (first == la.first_cells(keys, b, a)).all() and (first > 0).mean() > 0.9
     for k in range(200):
-        met = [c for t in range(la.TABLES) for c in sorted(({keys[k, t, 0]} & set(keys[200 + k, t])) | ({keys[200 + k, t, 0]} & set(keys[k, t])))]
+        met = [c for t in range(keys.shape[1]) for c in sorted(({keys[k, t, 0]} & set(keys[200 + k, t])) | ({keys[200 + k, t, 0]} & set(keys[k, t])))]
         assert first[k] == (met[0] if met else 0)

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by lattice hashing.
 
-Vectors are scaled to length 1 and projected at random to eight dimensions, once for each table. The nearest point
-of the lattice E8 is a vector's cell in that table; E8 packs and covers eight dimensions more tightly than a cubic grid, so near
+Vectors are scaled to length 1 and projected at random to eight dimensions (or a few times eight), once for each table. The nearest point
+of the lattice E8 (or one for each eight) is a vector's cell in that table; E8 packs and covers eight dimensions more tightly than a cubic grid, so near
 vectors more often share a cell. Each vector also probes the neighbouring cells (of the 240 around its own) that are
 nearest to it. Two vectors that meet in a cell which is the own cell of one of them, and whose random
 sign bits differ in few places, are candidates. Candidates of a cell form groups, within which the
@@ -11,8 +11,9 @@ verified and counted once, and a chain of vectors costs as many comparisons as i
 Identical vectors form a class, named by a hash, and travel as one. Cells and groups of any size are dealt into pairs of blocks
 (common.deal_blocks); pairs exist only as index arrays inside a task, which returns link counts and spanning forests.
 
-With the defaults a pair at cosine 0.90 is found with probability 0.98, one at 0.95 with 0.9999 (measured in
-tests/llm). Cells are finer the larger `spread`: for corpora of billions of vectors raise it and `tables` together.
+A pair at cosine 0.90 is found with probability 0.98, one at 0.95 with 0.999 (measured in tests/llm). A key of several lattice points is met by chance
+far less often, and takes more tables: both are chosen by the number of vectors, so that a vector meets some dozens of others by chance whether there
+are thousands or millions (SETTINGS).
 
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component link with nothing and are
 their own component; vectors of different length never link; rows that share a vec_id are vectors of their own, linked by what they hold (identical ones link with each other); a row with a null vec_id links with nothing, its component is null and kept is false;
@@ -21,9 +22,10 @@ labels and other columns are never read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,23 @@ from .common import across, deal_blocks, differing_bits, forest, link_counts, mi
 from .components import components
 
 THRESHOLD = 0.9
-TABLES, PROBES = 8, 8
-#: Standard deviation of a projected coordinate, in units of the lattice.
-SPREAD = 0.9
+
+
+class Setting(NamedTuple):
+    """Lattice points in a key, the standard deviation of a projected coordinate in units of the lattice, tables, and cells probed besides one's own."""
+
+    points: int
+    spread: float
+    tables: int
+    probes: int
+
+
+#: Up to how many different vectors. Tables are as many as a recall of 0.98 at cosine 0.9 takes; with them a random vector meets this part of all others by
+#: chance: 7e-3, 5e-4, 1e-4, 1.4e-5, and less than 1e-6 for the last two.
+SETTINGS = [
+    (5_000, Setting(1, 0.9, 8, 8)), (100_000, Setting(2, 0.55, 12, 8)), (1_000_000, Setting(2, 0.65, 22, 8)),
+    (10_000_000, Setting(3, 0.5, 24, 16)), (1_000_000_000, Setting(3, 0.6, 62, 16)), (None, Setting(4, 0.5, 82, 16)),
+]
 #: Of 128 sign bits so many may differ: a pair at cosine 0.9 differs in 18 on average (deviation 4), a random one in 64.
 SIGN_BITS, MOST_DIFFERENT = 128, 32
 CELL_ROWS, GROUP_ROWS = 2_000, 1_000
@@ -75,13 +91,13 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache
-def _projections(dim: int, tables: int, spread: float) -> np.ndarray:
+def _projections(dim: int, setting: Setting) -> np.ndarray:
     rng = np.random.default_rng([8, dim])
-    out = []
-    for _ in range(tables):
-        drawn = rng.normal(size=(dim, 8))
-        q = np.linalg.qr(drawn)[0] if dim >= 8 else drawn / np.sqrt(dim)
-        out.append(q * np.sqrt(dim) * spread)
+    out, wide = [], 8 * setting.points
+    for _ in range(setting.tables):
+        drawn = rng.normal(size=(dim, wide))
+        q = np.linalg.qr(drawn)[0] if dim >= wide else drawn / np.sqrt(dim)
+        out.append(q * np.sqrt(dim) * setting.spread)
     return np.array(out)
 
 
@@ -90,24 +106,35 @@ def _signs(dim: int) -> np.ndarray:
     return np.random.default_rng([9, dim]).normal(size=(dim, SIGN_BITS))
 
 
-def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, spread: float = SPREAD) -> np.ndarray:
-    """Keys (n, tables, 1 + probes) of the cells of unit vectors: each table's own cell, then those it probes."""
+def cells(x: np.ndarray, setting: Setting = SETTINGS[0][1]) -> np.ndarray:
+    """Keys (n, tables, 1 + probes) of the cells of unit vectors: each table's own cell, then those it probes. A cell is the lattice points of all parts of a
+    projection; a probe moves one of them to a neighbour."""
     n, dim = x.shape
-    out = np.empty((n, tables, 1 + probes), dtype=np.uint64)
-    around = neighbours()
-    for t, p in enumerate(_projections(dim, tables, spread)):
+    points, probes, around = setting.points, setting.probes, neighbours()
+    out = np.empty((n, setting.tables, 1 + probes), dtype=np.uint64)
+    rows = np.arange(n)
+    for t, p in enumerate(_projections(dim, setting)):
         # einsum, as a vector must have the same cells whatever others it is multiplied with
-        y = np.einsum("nd,dk->nk", x, p)
+        y = np.einsum("nd,dk->nk", x, p).reshape(n * points, 8)
         own = decode(y)
-        nearest = np.argpartition(-np.einsum("nk,mk->nm", y - own, around), probes, axis=1)[:, :probes]
-        points = np.concatenate([own[:, None, :], own[:, None, :] + around[nearest]], axis=1)
-        key = np.full(points.shape[:2], np.uint64(1 + t * 65_537 + dim), dtype=np.uint64)
-        for k in range(8):
-            key = mix(key * np.uint64(0x100000001B3) + (2 * points[:, :, k]).astype(np.int64).astype(np.uint64))
+        gain = np.einsum("nk,mk->nm", y - own, around).reshape(n, points * len(around))
+        nearest = np.argpartition(-gain, probes, axis=1)[:, :probes]
+        each = np.repeat(own.reshape(n, 1, points, 8), 1 + probes, axis=1)
+        for k in range(probes):
+            each[rows, k + 1, nearest[:, k] // len(around)] += around[nearest[:, k] % len(around)]
+        each = each.reshape(n, 1 + probes, 8 * points)
+        key = np.full(each.shape[:2], np.uint64(1 + t * 65_537 + dim), dtype=np.uint64)
+        for k in range(8 * points):
+            key = mix(key * np.uint64(0x100000001B3) + (2 * each[:, :, k]).astype(np.int64).astype(np.uint64))
         out[:, t] = key
     return out
 
 
+def setting_for(n: int) -> Setting:
+    """The setting for so many different vectors."""
+    return next(s for most, s in SETTINGS if most is None or n <= most)
+
+
 def unit(lists: pa.Array) -> np.ndarray:
     """Rows of a list array (all of one length) as vectors of length 1, in double precision."""
     x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
@@ -115,23 +142,26 @@ def unit(lists: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("embedding")
-        long = lists.value_lengths().to_numpy()
-        for dim in np.unique(long):
-            (rows,) = np.nonzero(long == dim)
-            for lo in range(0, len(rows), 1000):
-                some = pa.array(rows[lo : lo + 1000])
-                x = unit(lists.take(some))
-                keys = cells(x)
-                signs = np.packbits(x @ _signs(int(dim)) > 0, axis=1).view(np.int64)
-                each = keys.shape[1] * keys.shape[2]
-                ids = batch.column("node").take(some).to_numpy()
-                own = np.zeros(keys.shape, dtype=bool)
-                own[:, :, 0] = True
-                columns = [keys.ravel().view(np.int64), own.ravel(), np.repeat(ids, each), *(np.repeat(signs[:, k], each) for k in range(SIGN_BITS // 64))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "own", "node", "sign0", "sign1"])
+def _hash(setting: Setting) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            long = lists.value_lengths().to_numpy()
+            for dim in np.unique(long):
+                (rows,) = np.nonzero(long == dim)
+                for lo in range(0, len(rows), 1000):
+                    some = pa.array(rows[lo : lo + 1000])
+                    x = unit(lists.take(some))
+                    keys = cells(x, setting)
+                    signs = np.packbits(x @ _signs(int(dim)) > 0, axis=1).view(np.int64)
+                    each = keys.shape[1] * keys.shape[2]
+                    ids = batch.column("node").take(some).to_numpy()
+                    own = np.zeros(keys.shape, dtype=bool)
+                    own[:, :, 0] = True
+                    columns = [keys.ravel().view(np.int64), own.ravel(), np.repeat(ids, each), *(np.repeat(signs[:, k], each) for k in range(SIGN_BITS // 64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "own", "node", "sign0", "sign1"])
+
+    return run
 
 
 def first_cells(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,29 +203,33 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["candidates", "node", "cell", "side", "sign0", "sign1"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, offsets in whole_groups(batches, ["candidates", "cell_i", "cell_j"], rows=1024):
-        ids, cell, side, block, i, j, s0, s1, copies = (table.column(c).to_numpy() for c in ("node", "cell", "side", "block", "cell_i", "cell_j", "sign0", "sign1", "n_copies"))
-        lists = table.column("embedding").combine_chunks()
-        dims = lists.value_lengths().to_numpy()
-        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            for dim in np.unique(dims[lo:hi]):
-                at = lo + np.flatnonzero(dims[lo:hi] == dim)
-                x = unit(lists.take(pa.array(at)))
-                a, b = np.nonzero(np.triu(x @ x.T >= THRESHOLD, 1))
-                p, q = at[a], at[b]
-                here = across(block, i, j, p, q) & ((side[p] < 0) | (side[p] != side[q])) & _near(s0, s1, p, q)
-                a, b = a[here], b[here]
-                if len(a):
-                    some, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-                    own = first_cells(cells(x[some]), ends[: len(a)], ends[len(a) :]) == cell[at[a]].view(np.uint64)
-                    a, b = a[own], b[own]
-                if len(a):
-                    yield link_counts(ids[at], copies[at], a, b)
-
-
-def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """One row per row of vectors (vec_id, embedding): vec_id, n_links, group_id, kept."""
+def _verify(setting: Setting) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, offsets in whole_groups(batches, ["candidates", "cell_i", "cell_j"], rows=1024):
+            ids, cell, side, block, i, j, s0, s1, copies = (table.column(c).to_numpy() for c in ("node", "cell", "side", "block", "cell_i", "cell_j", "sign0", "sign1", "n_copies"))
+            lists = table.column("embedding").combine_chunks()
+            dims = lists.value_lengths().to_numpy()
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for dim in np.unique(dims[lo:hi]):
+                    at = lo + np.flatnonzero(dims[lo:hi] == dim)
+                    x = unit(lists.take(pa.array(at)))
+                    a, b = np.nonzero(np.triu(x @ x.T >= THRESHOLD, 1))
+                    p, q = at[a], at[b]
+                    here = across(block, i, j, p, q) & ((side[p] < 0) | (side[p] != side[q])) & _near(s0, s1, p, q)
+                    a, b = a[here], b[here]
+                    if len(a):
+                        some, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+                        own = first_cells(cells(x[some], setting), ends[: len(a)], ends[len(a) :]) == cell[at[a]].view(np.uint64)
+                        a, b = a[own], b[own]
+                    if len(a):
+                        yield link_counts(ids[at], copies[at], a, b)
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, setting: Setting | None = None) -> DataFrame:
+    """One row per row of vectors (vec_id, embedding): vec_id, n_links, group_id, kept. The setting is chosen by the number of different vectors where none
+    is given."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = (
         F.col("vec_id").isNotNull()
@@ -205,7 +239,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable").drop("usable")
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n_copies")).withColumn("node", F.xxhash64("embedding")), "classes")
-    hashed = cut(classes.select("node", "embedding").mapInArrow(_hash, "cell long, own boolean, node long, sign0 long, sign1 long"), "cells")
+    setting = setting or setting_for(classes.count())
+    hashed = cut(classes.select("node", "embedding").mapInArrow(_hash(setting), "cell long, own boolean, node long, sign0 long, sign1 long"), "cells")
     hot = cut(hashed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS), "hot")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     blocks = F.ceil(F.coalesce("n", F.lit(1)) / CELL_ROWS)
@@ -224,7 +259,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         dealt.join(classes.select("node", "n_copies", "embedding"), "node")
         .repartition("candidates", "cell_i", "cell_j")
         .sortWithinPartitions("candidates", "cell_i", "cell_j")
-        .mapInArrow(_verify, "x long, y long, links long"),
+        .mapInArrow(_verify(setting), "x long, y long, links long"),
         "verified",
     )
     drop_scratch(found)

@@ -6,7 +6,8 @@ by the digest. Its state lies on disk (RocksDB, checkpointed to the shared folde
 the identifier and locator of the row that stays and the number of rows so far. There is no watermark, so
 a digest is known for good, and a later run over new arrivals with the same state folder continues where the
 last one stopped; a lost executor's state is read again from the checkpoint. The locator names the run
-of a text and its hash; runs that share a state folder keep their texts in it, so that they can be read again.
+of a text and its hash; runs that share a state folder keep their texts in it by run and bucket, so that a later run reads those of its hits alone.
+A run that is named can be given again after it was lost: what has landed lands once, and what was counted counts once.
 
 A digest that is met again is a hit, not yet a copy: the full normalised text of each hit is
 compared with that of the row that stays, wherever that arrived; the texts of a hot digest are dealt over many keys. Digests whose texts differ are grouped by their whole texts instead.
@@ -32,6 +33,8 @@ from ..tables import cut, scratch
 BROADCAST_ROWS = 2_000_000
 #: Up to so many hits (100 bytes each) are broadcast to find their texts; beyond, a shuffle joins them. Hits of one digest that share a key.
 BROADCAST_HITS, HITS_A_KEY = 500_000, 1_000
+#: Buckets of the stored texts of a run.
+BUCKETS = 64
 _BLANKS = " \t\n\x0b\x0c\r"
 #: State on disk; a store is closed when its task has committed, so an executor keeps open (and on its own disk) only those at work.
 _STATE_CONF = {
@@ -68,12 +71,38 @@ def contents(docs: DataFrame, run: str, digest: Callable[[Column], Column]) -> D
     return rows.withColumn("digest", digest(F.col("full")))
 
 
+def _fs(spark: SparkSession, path: str) -> tuple:
+    path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path_.getFileSystem(spark._jsc.hadoopConfiguration()), path_
+
+
+def _batches(spark: SparkSession, log: str) -> set[int]:
+    fs, path = _fs(spark, log)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return {int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")}
+
+
+def land(rows: DataFrame, folder: str, *by: str) -> None:
+    """Write rows to a folder that appears when it is whole; one that is there stays as it is."""
+    spark = rows.sparkSession
+    fs, final = _fs(spark, folder)
+    if fs.exists(final):
+        return
+    draft = scratch(spark, "landing")
+    rows.write.partitionBy(*by).parquet(draft) if by else rows.write.parquet(draft)
+    fs.mkdirs(final.getParent())
+    if not fs.rename(_fs(spark, draft)[1], final):
+        raise OSError(f"{draft} could not be moved to {folder}")
+
+
 def absorb(spark: SparkSession, landing: str, state: str) -> DataFrame:
-    """Stream what is new in the landing folder through the state; the row that stays and the count of each digest.
+    """Stream what is new in the landing folder through the state; the row that stays and the count of each digest that it changed.
 
-    Every run appends the digests it changed to a log beside the state; the last entry of a digest holds.
+    Every run appends the digests it changed to a log beside the state; the last entry of a digest holds. Where nothing is new, as in
+    a run that is given again, the whole log is returned.
     """
     log = f"{state}/log"
+    before = _batches(spark, log)
     schema = spark.read.parquet(f"{landing}/*").schema
     stays = F.max(F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("order"), "doc_id", "locator"))
     groups = spark.readStream.schema(schema).parquet(f"{landing}/*").groupBy("digest").agg(stays.alias("stays"), F.count("*").alias("group_size"))
@@ -82,28 +111,38 @@ def absorb(spark: SparkSession, landing: str, state: str) -> DataFrame:
         # a batch that is run again after a failure writes the same folder again
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
-    before = {k: spark.conf.get(k) for k in _STATE_CONF}
+    conf = {k: spark.conf.get(k) for k in _STATE_CONF}
     for k, v in _STATE_CONF.items():
         spark.conf.set(k, v)
     try:
         query = groups.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        for k, v in before.items():
+        for k, v in conf.items():
             spark.conf.set(k, v)
-    changed = spark.read.option("basePath", log).parquet(f"{log}/batch=*")
+    # all digests of a run are in the batches that took it
+    new = sorted(_batches(spark, log) - before) or sorted(before)
+    changed = spark.read.option("basePath", log).parquet(*(f"{log}/batch={k}" for k in new))
     last = changed.groupBy("digest").agg(F.max_by(F.struct("stays", "group_size"), "batch").alias("last"))
     return last.select("digest", F.col("last.stays.doc_id").alias("keep_id"), F.col("last.stays.locator").alias("keep_locator"), F.col("last.group_size").alias("group_size"))
 
 
+def _bucket(text_hash: str) -> Column:
+    return F.pmod(F.col(text_hash), F.lit(BUCKETS)).cast("int")
+
+
 def differing(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Digests with a hit whose full normalised text is not that of the row that stays. texts: contents of all runs that rows name."""
+    """Digests with a hit whose full normalised text is not that of the row that stays. texts: contents of all runs that rows name; where they are stored, only
+    runs and buckets with a hit are read."""
     met = rows.where("group_size > 1").withColumn("n_keys", F.ceil(F.col("group_size") / HITS_A_KEY).cast("int"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))
     key = F.pmod(F.xxhash64("doc_id", "locator.text_hash"), F.col("n_keys")).cast("int")
     hits = met.where(~stays).select("digest", "doc_id", "locator.run", "locator.text_hash", F.array(key).alias("keys"), F.lit(False).alias("stays"))
     kept = met.select("digest", F.col("keep_id").alias("doc_id"), "keep_locator.run", "keep_locator.text_hash", F.sequence(F.lit(0), F.col("n_keys") - 1).alias("keys"), F.lit(True).alias("stays"))
     asked = cut(hits.union(kept).distinct(), "hits")
+    if "bucket" in texts.columns:
+        runs = [r.run for r in asked.select("run").distinct().collect()]  # a name for each run with a hit, and BUCKETS at most
+        texts = texts.where(F.col("run").isin(runs) & F.col("bucket").isin([r.bucket for r in asked.select(_bucket("text_hash").alias("bucket")).distinct().collect()]))
     asked = (F.broadcast(asked) if asked.count() <= BROADCAST_HITS else asked).alias("h")
     t = texts.select("doc_id", "run", "text_hash", "full").alias("t")
     same = F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_hash") == F.col("h.text_hash")) & (F.col("t.run") == F.col("h.run"))
@@ -113,17 +152,18 @@ def differing(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return compared.where("n_texts > 1").select("digest").distinct()
 
 
-def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None, run: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, keep_id, group_size, kept, text_sha256. With a state folder, docs are new
-    arrivals after those of earlier runs with the same folder."""
-    spark, run = docs.sparkSession, uuid.uuid4().hex
+    arrivals after those of earlier runs with the same folder. A run that has a name may be given again with the same docs: it is counted once."""
+    spark, run = docs.sparkSession, run or uuid.uuid4().hex
     texts = contents(docs, run, digest)
     if state:
-        texts.write.parquet(f"{state}/contents/{run}")
-        texts = spark.read.parquet(f"{state}/contents/*")
+        land(texts.drop("run").withColumn("bucket", _bucket("text_hash")).repartition("bucket"), f"{state}/contents/run={run}", "bucket")
+        # the run's name stays text, whatever it looks like
+        texts = spark.read.schema("doc_id long, text_hash long, n_points int, full string, digest string, run string, bucket int").parquet(f"{state}/contents")
     state = state or scratch(spark, "dedup-state")
     landing = f"{state}/landing"
-    arrivals(docs, run, digest).write.parquet(f"{landing}/{run}")
+    land(arrivals(docs, run, digest), f"{landing}/{run}")
     rows = spark.read.parquet(f"{landing}/{run}").join(absorb(spark, landing, state), "digest")
     wrong = cut(differing(texts, rows), "differing")
     result = rows.select("digest", "doc_id", F.col("locator.text_hash").alias("text_hash"), "keep_id", "group_size", "text_sha256")

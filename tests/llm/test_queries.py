@@ -1,5 +1,6 @@
 """Each query of the package over a small table: against its SQL, else against a plain version."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -91,6 +92,18 @@ def test_op8(spark, sf_dir, docs):
     assert np.mean([g > b for g in good for b in bad]) > 0.9 if bad else True
 
 
+def test_op11(spark, sf_dir, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op11_chunked_bpe(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, text in zip(docs.doc_id, docs.text):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[i] == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 def test_pipeline(spark, sf_dir, docs):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     frame = queries.table(spark, sf_dir, "documents")
@@ -123,7 +136,6 @@ def test_pipeline(spark, sf_dir, docs):
     others = {s: n for s, n in size.items() if s not in mixing.TARGETS}
     shares = {s: mixing.TARGETS[s] for s in size if s in mixing.TARGETS} | {s: left * n / sum(others.values()) for s, n in others.items()}
     expect = Counter()
-    import hashlib
 
     for r in kept:
         rate = shares[r.source] / sum(shares.values()) * total / size[r.source]

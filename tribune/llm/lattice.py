@@ -209,20 +209,24 @@ def _verify(setting: Setting) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             ids, cell, side, block, i, j, s0, s1, copies = (table.column(c).to_numpy() for c in ("node", "cell", "side", "block", "cell_i", "cell_j", "sign0", "sign1", "n_copies"))
             lists = table.column("embedding").combine_chunks()
             dims = lists.value_lengths().to_numpy()
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                for dim in np.unique(dims[lo:hi]):
+                for dim in np.unique(dims[lo:hi]).tolist():
                     at = lo + np.flatnonzero(dims[lo:hi] == dim)
                     x = unit(lists.take(pa.array(at)))
                     a, b = np.nonzero(np.triu(x @ x.T >= THRESHOLD, 1))
                     p, q = at[a], at[b]
                     here = across(block, i, j, p, q) & ((side[p] < 0) | (side[p] != side[q])) & _near(s0, s1, p, q)
-                    a, b = a[here], b[here]
-                    if len(a):
-                        some, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-                        own = first_cells(cells(x[some], setting), ends[: len(a)], ends[len(a) :]) == cell[at[a]].view(np.uint64)
-                        a, b = a[own], b[own]
-                    if len(a):
-                        yield link_counts(ids[at], copies[at], a, b)
+                    if here.any():
+                        found.setdefault(dim, []).append((p[here], q[here]))
+            # the cells of all rows with a link are found at once
+            for pairs in found.values():
+                p, q = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                some, ends = np.unique(np.concatenate([p, q]), return_inverse=True)
+                keys = cells(unit(lists.take(pa.array(some))), setting)
+                own = first_cells(keys, ends[: len(p)], ends[len(p) :]) == cell[p].view(np.uint64)
+                if own.any():
+                    yield link_counts(ids, copies, p[own], q[own])
 
     return run
 

@@ -43,14 +43,14 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verbatims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as nested sittings: one agenda item for each 64 turns, a turn an event; system turns are no speeches. A long
-    conversation is several payloads with one link and date."""
+    conversation is several payloads with one link and date, which its title tells apart; numbers that are far apart share links, too."""
     turns = table(spark, sf_dir, "conversations")
     event = F.struct("turn", F.when(F.col("role") == "system", "NOTE").otherwise("SPEECH").alias("type"), "text", F.concat(F.lit("Esimees Mari "), F.initcap("role")).alias("speaker"))
     grouped = turns.groupBy("conv_id", F.floor(F.col("turn") / 64).alias("block")).agg(F.array_sort(F.collect_list(event)).alias("e"))
     events = F.transform("e", lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"), x["speaker"].alias("speaker")))
     link = F.concat(F.lit("https://s.example/20240108"), F.lpad((F.col("conv_id") % 2400).cast("string"), 4, "0"))
     return grouped.select(
-        F.when(F.col("conv_id") % 5 != 0, link).alias("link"), F.lit("t").alias("title"),
+        F.when(F.col("conv_id") % 5 != 0, link).alias("link"), F.concat_ws("/", "conv_id", "block").alias("title"),
         F.when(F.col("conv_id") % 7 != 0, F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 700).cast("int")), "yyyy-MM-dd"), F.lit("T13:00:00.000+00:00"))).alias("date"),
         F.array(F.struct(events.alias("events"))).alias("agendaItems"),
     )

@@ -16,18 +16,23 @@ from ..plans import ingest
 from ..schemas import VERBATIMS
 
 
-def sittings(spark: SparkSession, landing: str, forget_after: str | None = None) -> DataFrame:
+def sittings(spark: SparkSession, landing: str, forget_after: str | None = None, in_parts: bool = False) -> DataFrame:
     """A stream of dated verbatims, one per uid. By default uids are remembered for good (a few thousand in years); with
-    forget_after (such as `14 days`) only within that watermark of the sitting's day."""
+    forget_after (such as `14 days`) only within that watermark of the sitting's day. in_parts: several payloads may have one uid (parts of a long
+    sitting, or links that serve several), so that only a payload that is the same in all its fields is a repeat."""
     rows = ingest.dated(spark.readStream.schema(VERBATIMS).json(landing))
+    key = ["uid"]
+    if in_parts:
+        key = ["uid", "payload"]
+        rows = rows.withColumn("payload", F.unhex(F.sha2(F.to_json(F.struct("link", "title", "date", "agendaItems")), 256)))
     if forget_after is None:
-        return rows.dropDuplicates(["uid"])
-    return rows.withColumn("at", F.to_timestamp("day")).withWatermark("at", forget_after).dropDuplicatesWithinWatermark(["uid"]).drop("at")
+        return rows.dropDuplicates(key)
+    return rows.withColumn("at", F.to_timestamp("day")).withWatermark("at", forget_after).dropDuplicatesWithinWatermark(key).drop("at")
 
 
-def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, history: DataFrame, analyzer: Analyzer, forget_after: str | None = None) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, history: DataFrame, analyzer: Analyzer, forget_after: str | None = None, in_parts: bool = False) -> StreamingQuery:
     """Start a query that takes all files that are there, appends their speeches to year folders of JSON lines, and ends."""
-    rows = ingest.speeches_of(sittings(spark, landing, forget_after), history, analyzer)
+    rows = ingest.speeches_of(sittings(spark, landing, forget_after, in_parts), history, analyzer)
     rows = rows.withColumn("year", F.year(dates.day(F.col("date"))))
     return rows.writeStream.format("json").partitionBy("year").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,9 +1,12 @@
 """What only larger tables show, on small ones made for it."""
 
+import random
+
 import pandas as pd
 
 from tests.test_entry import same
 from tribune import queries
+from tribune.operators.lemmas import LemmaAnalyzer, Lemmatiser, known_forms, learn, load_model, save_model
 
 
 def test_streamed_parts_of_a_link_are_all_kept(spark, tmp_path):
@@ -12,3 +15,20 @@ def test_streamed_parts_of_a_link_are_all_kept(spark, tmp_path):
     turns += [(c, 0, "assistant", "the same") for c in (3, 16803)]
     pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).to_parquet(tmp_path / "conversations.parquet")
     same(spark, "stream_speeches", queries.QUERIES["stream_speeches"], queries.ORACLES["stream_speeches"], str(tmp_path))
+
+
+def test_a_model_grows_by_exceptions_only(spark, tmp_path):
+    """More forms than an analyzer may hold, nearly all of which rules give: none is refused, and each has the lemma of the whole table."""
+    rng = random.Random(5)
+    stems = sorted({"".join(rng.choice("abdeiklmnorstuõ") for _ in range(rng.randint(1, 9))) for _ in range(400)})
+    forms = [(stem + end, stem) for stem in stems for end in ("", "s", "sid", "ta")] + [(stem + "ks", rng.choice(stems)) for stem in stems[::40]] + [("s", "s"), ("ta", "minema")]
+    table = spark.createDataFrame(forms, "form string, lemma string").coalesce(1)
+    known = [tuple(r) for r in known_forms(table).collect()]
+    whole = Lemmatiser(known, [(r.suffix, r.cut, r.add, r.place) for r in learn(table).collect()])
+    save_model(table, str(tmp_path / "model"))
+    loaded = load_model(spark, str(tmp_path / "model"), most=len(known) // 2)
+    learned = LemmaAnalyzer.learned(table, most=len(known) // 2)
+    asked = [f for f, _ in known] + [s + e for s in stems for e in ("sta", "t", "d", "ksid")] + ["q", "^", "sid"]
+    for own in (loaded, learned):
+        assert [own.model.lemma(f) for f in asked] == [whole.lemma(f) for f in asked]
+    assert 0 < len(loaded.model.words) < len(known) // 4

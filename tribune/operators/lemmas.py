@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import cut, drop_scratch
 from .analyzer import SimpleAnalyzer
 
 #: Letters of the longest suffix, and forms that must show a rule before it counts.
 LONGEST, LEAST = 6, 2
-#: Entries (forms and rules) that an analyzer may send to its workers; some 200 MB there. Beyond, build the index by DictionaryAnalyzer's join.
+#: Entries (forms that are exceptions to the rules, and rules) that an analyzer may send to its workers; some 200 MB there. Beyond, build the index by DictionaryAnalyzer's join.
 MOST = 2_000_000
 
 WORDS = "form string, lemma string"
@@ -95,14 +96,17 @@ class LemmaAnalyzer(SimpleAnalyzer):
         rules = words.sparkSession.createDataFrame([], RULES) if rules is None else rules
         size = known.count() + rules.count()
         if size > most:
-            raise ValueError(f"{size} forms and rules, more than {most}: raise `least`, or use DictionaryAnalyzer, which joins its table")
+            raise ValueError(f"{size} exceptions and rules, more than {most}: raise `least`, or use DictionaryAnalyzer, which joins its table")
         self.model = Lemmatiser([tuple(r) for r in known.collect()], [(r.suffix, r.cut, r.add, r.place) for r in rules.collect()])
         self._shared = words.sparkSession.sparkContext.broadcast((list(self.model.words.items()), [(s, c, a, k) for s, own in self.model.rules.items() for k, (c, a) in enumerate(own)]))
 
     @classmethod
     def learned(cls, dictionary: DataFrame, longest: int = LONGEST, least: int = LEAST, most: int = MOST) -> LemmaAnalyzer:
         """An analyzer of a dictionary and the rules learned from it."""
-        return cls(dictionary, learn(dictionary, longest, least), most)
+        rules = cut(learn(dictionary, longest, least), "rules")
+        own = cls(exceptions(known_forms(dictionary), rules), rules, most)
+        drop_scratch(rules)
+        return own
 
     def forms(self, text: Column) -> Column:
         return super().tokens(text)
@@ -142,10 +146,29 @@ def _in_worker(shared) -> Lemmatiser:
     return own
 
 
+def by_rules(forms: DataFrame, rules: DataFrame) -> DataFrame:
+    """forms (a column form) with the lemma that the first rule of the longest suffix gives, as `ruled`: by a join on suffixes, so rules may be any number."""
+    marked = F.concat(F.lit("^"), F.col("form"))
+    asked = forms.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(0), F.length(marked)), lambda k: F.right(marked, k))))
+    # the rules of a suffix in order; those that would leave nothing of the form are passed over
+    own = rules.groupBy("suffix").agg(F.array_sort(F.collect_list(F.struct("place", "cut", "add"))).alias("own"))
+    lemmas = F.filter(F.transform("own", lambda r: F.concat(F.left("form", F.greatest(F.length("form") - r["cut"], F.lit(0))), r["add"])), lambda x: x != "")
+    best = asked.join(own, "suffix").groupBy("form").agg(F.max_by(F.coalesce(F.get(lemmas, F.lit(0)), F.col("form")), F.length("suffix")).alias("ruled"))
+    return forms.join(best, "form", "left").withColumn("ruled", F.coalesce("ruled", "form"))
+
+
+def exceptions(known: DataFrame, rules: DataFrame) -> DataFrame:
+    """The known forms (form, lemma) whose lemma the rules would not give: with the rules they say what all of them say."""
+    return by_rules(known, rules).where("ruled <> lemma").select("form", "lemma")
+
+
 def save_model(dictionary: DataFrame, path: str, longest: int = LONGEST, least: int = LEAST) -> None:
-    """Write the known forms and the rules of a dictionary, for load_model()."""
-    known_forms(dictionary).write.mode("overwrite").parquet(f"{path}/words")
-    learn(dictionary, longest, least).write.mode("overwrite").parquet(f"{path}/rules")
+    """Write the rules of a dictionary and the forms that are exceptions to them, for load_model(). A language's forms grow with its texts; those that
+    rules give are not kept, so that an analyzer stays small."""
+    known = cut(known_forms(dictionary), "forms")
+    learn(known, longest, least).write.mode("overwrite").parquet(f"{path}/rules")
+    exceptions(known, known.sparkSession.read.schema(RULES).parquet(f"{path}/rules")).write.mode("overwrite").parquet(f"{path}/words")
+    drop_scratch(known)
 
 
 def load_model(spark: SparkSession, path: str, most: int = MOST) -> LemmaAnalyzer:

@@ -6,6 +6,8 @@ import pandas as pd
 
 from tests.test_entry import same
 from tribune import queries
+from tribune.operators import index, segments
+from tribune.operators.analyzer import SimpleAnalyzer
 from tribune.operators.lemmas import LemmaAnalyzer, Lemmatiser, known_forms, learn, load_model, save_model
 
 
@@ -32,3 +34,24 @@ def test_a_model_grows_by_exceptions_only(spark, tmp_path):
     for own in (loaded, learned):
         assert [own.model.lemma(f) for f in asked] == [whole.lemma(f) for f in asked]
     assert 0 < len(loaded.model.words) < len(known) // 4
+
+
+def test_postings_shuffle_texts_once_and_rare_lemmas_alone(spark, tmp_path, monkeypatch):
+    texts = [(k, " ".join(["often"] * (k % 3 + 1) + ["also", f"rare{'abcdefghij'[k % 10] * (k // 10 + 1)}"])) for k in range(40)] + [(7, "twice often"), (50, None)]
+    rows = spark.createDataFrame(texts, "speech_id long, text string")
+    found = index.postings(rows, SimpleAnalyzer())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(speech_id") == 1 and "Exchange hashpartitioning(speech_id#" in plan and "lemma" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+    want = sorted(tuple(r) for r in found.collect())
+    assert (7, "often", 3) in want
+    monkeypatch.setattr(segments, "BROADCAST_ROWS", 5)
+    own = segments.SegmentIndex(spark, str(tmp_path / "own"), "growth_segments", buckets=4)
+    own.add(rows.where("speech_id % 2 = 0"), SimpleAnalyzer())
+    own.add(rows.where("speech_id % 2 = 1"), SimpleAnalyzer())
+    assert sorted(tuple(r) for r in own.postings().collect()) == want
+    spark.sql("drop table growth_segments")
+    table = spark.createDataFrame([(lemma, k) for k, lemma in enumerate(sorted({w for _, w, _ in want}))], "lemma string, id long")
+    joined, held = segments.by_table(found, table, "lemma")
+    assert sorted((r.speech_id, r.lemma, r["count"]) for r in joined.collect()) == want and len(held) == 1
+    # the frequent lemmas do not go through the shuffle
+    assert {r.lemma for r in held[0].where("_tier >= 4").collect()} == {"often", "also"}

@@ -14,10 +14,12 @@ def lemmatised(speeches: DataFrame, analyzer: Analyzer) -> DataFrame:
     return speeches.withColumn("text_lemmas", F.when(F.coalesce("text_lemmas", F.lit("")) == "", own).otherwise(F.col("text_lemmas")))
 
 
-def postings(speeches: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Postings of speeches (speech_id, text). Counts are summed within tasks before the one shuffle; forms become lemmas when they are counted, so a
-    frequent word is asked for once a speech."""
-    words = speeches.select("speech_id", F.explode(analyzer.forms(F.col("text"))).alias("lemma"))
+def postings(speeches: DataFrame, analyzer: Analyzer, parts: int | None = None) -> DataFrame:
+    """Postings of speeches (speech_id, text). Texts are dealt by speech before they are split, as they are smaller than their postings: counting then needs no
+    shuffle. Forms become lemmas when they are counted, so a frequent word is asked for once a speech."""
+    dealt = speeches.select("speech_id", "text")
+    dealt = dealt.repartition("speech_id") if parts is None else dealt.repartition(parts, "speech_id")
+    words = dealt.select("speech_id", F.explode(analyzer.forms(F.col("text"))).alias("lemma"))
     counted = words.groupBy("speech_id", "lemma").agg(F.count("*").alias("count"))
     unified = analyzer.unify(counted)
     return counted if unified is counted else unified.groupBy("speech_id", "lemma").agg(F.sum("count").alias("count"))

@@ -61,6 +61,26 @@ def get_or_create(store: Store, lemmas: DataFrame) -> tuple[dict[str, list[dict]
     return {LEMMAS: [part]}, {"last_id": last + n}, known.unionByName(store.read_staged(LEMMAS, part, _LEMMAS).drop("part"))
 
 
+def by_table(rows: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, list[DataFrame]]:
+    """rows joined with a table that has a row for each key and no nulls, and what is to be dropped when they are read. Of a table beyond BROADCAST_ROWS
+    the keys that come most often are broadcast, and only the rows of the others are shuffled: few, as words go. rows are read three times, so they should be written."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key), []
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    weighed = cut(table.join(sizes, key).withColumn("_tier", F.floor(F.log2("_n")).cast("int")).drop("_n"), "weighed")
+    least, n = 64, 0
+    for tier, own in sorted(((r._tier, r.n) for r in weighed.groupBy("_tier").agg(F.count("*").alias("n")).collect()), reverse=True):  # 63 at most
+        n += own
+        if n > BROADCAST_ROWS:
+            break
+        least = tier
+    some = lambda often: weighed.where(F.col("_tier") >= least if often else F.col("_tier") < least).drop("_tier")
+    value = next(c for c in table.columns if c != key)
+    met = rows.join(F.broadcast(some(True)), key, "left")
+    rare = met.where(F.col(value).isNull()).select(*rows.columns).join(some(False), key)
+    return met.where(F.col(value).isNotNull()).unionByName(rare), [weighed]
+
+
 class SegmentIndex:
     """An index in a folder, known to the session as the table `name`."""
 
@@ -111,11 +131,10 @@ class SegmentIndex:
         """Index speeches (speech_id, text) that are not in it. Their segment and their new lemmas count together."""
         found = cut(index.postings(speeches, analyzer), "arrival")
         parts, notes, dictionary = get_or_create(self.store, found.select("lemma"))
-        if notes.get("last_id", self.store.notes.get("last_id", 0)) <= BROADCAST_ROWS:
-            dictionary = F.broadcast(dictionary)
-        segment = self._write(found.join(dictionary, "lemma").select("speech_id", F.col("id").alias("lemma_id"), "count"))
+        rows, held = by_table(found, dictionary.select("lemma", F.col("id").alias("lemma_id")), "lemma")
+        segment = self._write(rows)
         self.store.commit(parts | {SEGMENTS: [segment]}, notes=notes | {"buckets": self.buckets})
-        drop_scratch(found)
+        drop_scratch(found, *held)
 
     def delete(self, speeches: DataFrame) -> None:
         """Take speeches (speech_id) out; those that are added later are in again."""
@@ -166,4 +185,5 @@ class SegmentIndex:
 
     def postings(self) -> DataFrame:
         """(speech_id, lemma, count) of what counts."""
-        return self.live().join(self.store.read(LEMMAS, _LEMMAS).select("lemma", F.col("id").alias("lemma_id")), "lemma_id").select("speech_id", "lemma", "count")
+        rows, _ = by_table(self.live(), self.store.read(LEMMAS, _LEMMAS).select("lemma", F.col("id").alias("lemma_id")), "lemma_id")
+        return rows.select("speech_id", "lemma", "count")

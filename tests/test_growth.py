@@ -8,6 +8,7 @@ from tests.test_entry import same
 from tribune import queries
 from tribune.operators import index, segments
 from tribune.operators.analyzer import SimpleAnalyzer
+from tribune.sources import files
 from tribune.operators.lemmas import LemmaAnalyzer, Lemmatiser, known_forms, learn, load_model, save_model
 
 
@@ -55,3 +56,15 @@ def test_postings_shuffle_texts_once_and_rare_lemmas_alone(spark, tmp_path, monk
     assert sorted((r.speech_id, r.lemma, r["count"]) for r in joined.collect()) == want and len(held) == 1
     # the frequent lemmas do not go through the shuffle
     assert {r.lemma for r in held[0].where("_tier >= 4").collect()} == {"often", "also"}
+
+
+def test_lines_of_one_file_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("'2024-01-08' as date", "'1500' as time", "'one' as source_file", "'u' as source_url", "'s' as speaker", "concat(sha2(cast(id as string), 512), sha2(cast(-id as string), 512)) as text")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        files.write_speeches(rows.repartition(8), str(tmp_path / "lines"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    back = files.read_speeches(spark, str(tmp_path / "lines"))
+    assert len(back.inputFiles()) > 3 and back.select("text").distinct().count() == 4000

@@ -21,8 +21,9 @@ def read_speeches(spark: SparkSession, path: str, strict: bool = False, year: in
 
 
 def by_year(speeches: DataFrame) -> DataFrame:
-    """Lines with the year of their date, dealt so that those of a year go to a few files, not to one from every task."""
-    return speeches.withColumn("year", F.year(day(F.col("date")))).repartition("year", F.pmod(F.xxhash64("source_file"), F.lit(8)))
+    """Lines with the year of their date, dealt so that those of a year go to a few files, not to one from every task. A year of many lines is split by
+    their size, whatever files they come from, so that no task has all of it."""
+    return speeches.withColumn("year", F.year(day(F.col("date")))).hint("rebalance", "year")
 
 
 def write_speeches(speeches: DataFrame, path: str) -> None:

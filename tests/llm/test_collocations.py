@@ -95,3 +95,22 @@ def test_support_of_a_shard_never_loses_a_phrase():
         local = [max(1, -(-30 * x // n)) for x in own]
         spread = [rng.randrange(0, m) for m in local]  # below the support everywhere
         assert sum(spread) < 30
+
+
+def test_the_map_holds_what_may_be_frequent_in_all(spark, monkeypatch):
+    # thousands of phrases that a shard has often enough for its share, and all shards together do not
+    rows = [(f"x{k} y{k} z{k}. " * 5 + f"often said {k % 3}", "en") for k in range(400)]
+    seen, kept = [], collocations.candidate_map
+    monkeypatch.setattr(collocations, "candidate_map", lambda frequent, bits: seen.append(frequent.selectExpr("sum(n)").first()[0]) or kept(frequent, bits))
+    assert run(spark, rows) == plain(rows, 30)
+    # often, said, 0, 1, 2, their pairs and triples
+    assert seen == [5 + 4 + 3]
+
+
+def test_bound_of_shards_never_loses_a_phrase():
+    rng = random.Random(6)
+    for _ in range(500):
+        local = [rng.randrange(1, 8) for _ in range(collocations.SHARDS)]
+        counts = [rng.randrange(0, 12) for _ in local]
+        over = sum(c - m + 1 for c, m in zip(counts, local, strict=True) if c >= m)
+        assert over + sum(local) - len(local) >= sum(counts)

@@ -5,7 +5,9 @@
 2. Local mining. Tasks count the hashes of all n-grams of their texts and send them, sorted and packed, to the shard's ranges of hashes,
    where counts are added up. A hash stays if its count reaches the shard's support: the global one times the
    shard's part of the language's words, rounded up. If a phrase were below that everywhere, its total would be below the global support.
-3. Union. What is locally frequent anywhere becomes a bit of a map of bounded size. A bit that stands for several hashes lets more through, never less.
+3. Union. What is locally frequent anywhere has at most its counts where it is frequent, and one below the support of each other shard; if that is
+   below the global support, it goes. So what is left grows with the frequent phrases, not with those that one shard has a few times. The rest
+   becomes a bit of a map of bounded size. A bit that stands for several hashes lets more through, never less.
 4. Exact count. A second pass over the texts counts the phrases that the map lets through, as text, and keeps those that
    reach the support. From here on everything is joins and aggregates over frequent phrases.
 
@@ -38,6 +40,8 @@ SHARDS = 8
 SEGMENT, RANGE = 4_000_000, 4_000_000
 #: Bits of the hashes that are mined, and at most of the map of candidates (16 MB).
 KEY_BITS, MAP_BITS = 48, 27
+#: Counts of a shard are packed up to so many.
+MOST = 2**32 - 1
 #: Bytes of a slice of the map.
 SLICE = 2**16
 #: Up to so many shares (a row for each shard and language) are broadcast; beyond, a shuffle joins them.
@@ -181,18 +185,40 @@ def _count(bits: int, longest: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _summed(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all blobs in order, each once, with the sum of its counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*map(unpack, packed.to_pylist()), strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def _mine(batches: Batches) -> Batches:
-    """The hashes whose counts reach the support of their shard."""
+    """The hashes whose counts reach the support of their shard, packed, with how far they are over the most that a hash below it has."""
     for table, offsets in whole_groups(batches, ["shard", "lang", "part"], rows=256):
-        local, packed = table.column("local").to_numpy(), table.column("packed")
+        local, lang, part, packed = table.column("local").to_numpy(), table.column("lang"), table.column("part"), table.column("packed")
         for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            keys, counts = (np.concatenate(x) for x in zip(*map(unpack, packed.slice(lo, hi - lo).to_pylist()), strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            often = keys[first[np.add.reduceat(counts, first) >= local[lo]]]
-            if len(often):
-                yield pa.RecordBatch.from_arrays([pa.array([often.tobytes()], pa.binary()), pa.array([len(often)], pa.int64())], names=["keys", "n"])
+            keys, counts = _summed(packed.slice(lo, hi - lo))
+            often = counts >= local[lo]
+            if often.any():
+                over = np.minimum(counts[often] - local[lo] + 1, MOST)
+                yield pa.RecordBatch.from_arrays([pa.array([lang[lo].as_py()]), pa.array([part[lo].as_py()], pa.int32()), pa.array([pack(keys[often], over)], pa.binary())], names=["lang", "part", "packed"])
+
+
+def _bounded(support: int) -> Callable[[Batches], Batches]:
+    """Of what is frequent in some shards, the hashes that may reach the support of all: rest is the most that one has that is frequent in none."""
+
+    def run(batches: Batches) -> Batches:
+        for table, offsets in whole_groups(batches, ["lang", "part"], rows=256):
+            rest, packed = table.column("rest").to_numpy(), table.column("packed")
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                keys, over = _summed(packed.slice(lo, hi - lo))
+                keys = keys[over + rest[lo] >= min(support, MOST)]
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], names=["keys", "n"])
+
+    return run
 
 
 def _slices(bits: int) -> Callable[[Batches], Batches]:
@@ -290,8 +316,10 @@ def frequent_phrases(documents: DataFrame, support: int = SUPPORT, longest: int
     known = told.select("shard", "lang", "local")
     dealt = texts.join(F.broadcast(known) if small else known, ["shard", "lang"])
     counted = dealt.mapInArrow(_count(bits, longest), "shard int, lang string, local long, part int, packed binary")
-    mined = counted.repartition("shard", "lang", "part").sortWithinPartitions("shard", "lang", "part").mapInArrow(_mine, "keys binary, n long")
-    frequent = cut(mined, "frequent")
+    mined = counted.repartition("shard", "lang", "part").sortWithinPartitions("shard", "lang", "part").mapInArrow(_mine, "lang string, part int, packed binary")
+    rest = told.groupBy("lang").agg((F.sum("local") - F.count("*")).alias("rest"))
+    met = mined.join(F.broadcast(rest) if small else rest, "lang")
+    frequent = cut(met.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(_bounded(support), "keys binary, n long"), "frequent")
     total = frequent.agg(F.sum("n")).first()[0] or 0
     width = min(MAP_BITS, max(16, int(total * 16).bit_length()))
     spark = documents.sparkSession

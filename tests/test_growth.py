@@ -7,7 +7,7 @@ import pandas as pd
 from tests.test_entry import same
 from tribune import queries
 from tribune.operators import index, segments
-from tribune.operators.analyzer import SimpleAnalyzer
+from tribune.operators.analyzer import DictionaryAnalyzer, SimpleAnalyzer
 from tribune.sources import files
 from tribune.operators.lemmas import LemmaAnalyzer, Lemmatiser, known_forms, learn, load_model, save_model
 
@@ -68,3 +68,35 @@ def test_lines_of_one_file_are_written_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     back = files.read_speeches(spark, str(tmp_path / "lines"))
     assert len(back.inputFiles()) > 3 and back.select("text").distinct().count() == 4000
+
+
+def test_a_dictionary_that_is_not_small_to_spark_moves_no_postings(spark):
+    texts = [(k, f"pours often {'often ' * (k % 3)}this pours pour cats the") for k in range(30)] + [(90, "dogs"), (91, None)]
+    rows = spark.createDataFrame(texts, "speech_id long, text string")
+    forms = spark.createDataFrame([("pours", "pour"), ("pours", "pouring"), ("cats", "cat"), ("this", "these"), ("dogs", "dog")], "form string, lemma string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.postings(rows, DictionaryAnalyzer(forms))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(speech_id") == 1 and "SortMergeJoin" not in plan
+        want = sorted(tuple(r) for r in found.collect())
+        some = index.postings_of(rows, DictionaryAnalyzer(forms), ["pour", "these", "this", "often", "pours"])
+        assert "SortMergeJoin" not in some._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in some.collect()) == [r for r in want if r[1] in ("pour", "these", "often")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert (0, "pour", 3) in want and (90, "dog", 1) in want and not {"this", "pours"} & {r[1] for r in want}
+
+
+def test_tasks_of_postings_have_texts_of_one_size(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "word " * 100) for k in range(100)], "speech_id long, text string")
+    monkeypatch.setattr(index, "PART_BYTES", 5_000)
+    found = index.postings(rows, SimpleAnalyzer())
+    assert found.rdd.getNumPartitions() == 10 and found.count() == 100
+    # what is known is looked for without sorting texts, few ids or many
+    for most, join in ((100, "BroadcastHashJoin"), (1, "ShuffledHashJoin")):
+        monkeypatch.setattr(index, "BROADCAST_ROWS", most)
+        left = index.missing(rows, found.where("speech_id < 90"))
+        assert join in left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.speech_id for r in left.collect()) == list(range(90, 100))

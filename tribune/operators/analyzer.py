@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Up to so many rows of a dictionary (two words, some 100 bytes there) are broadcast; beyond, forms are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
 class Analyzer(Protocol):
     def tokens(self, text: Column) -> Column:
         """Lemmas of a text, an array of strings in order; empty for null."""
@@ -51,13 +55,15 @@ class SimpleAnalyzer:
 
 class DictionaryAnalyzer(SimpleAnalyzer):
     """Words of letters, unified by a table of forms and their lemmas (form, lemma; lower case; of several lemmas of a form the first in order of
-    letters). Words that it does not hold are their own lemmas. The table is joined: broadcast where Spark finds it small, shuffled where it is not, so
+    letters). Words that it does not hold are their own lemmas. The table is joined: broadcast up to BROADCAST_ROWS, which are counted once, and shuffled beyond, so
     it may be of any size. It serves the index and queries on it; for lemmas of texts as a column, LemmaAnalyzer has to hold the table."""
 
     by_substring = False
 
     def __init__(self, dictionary: DataFrame):
+        self.given = dictionary
         self.dictionary = dictionary.groupBy("form").agg(F.min("lemma").alias("_lemma"))
+        self._small: bool | None = None
 
     def forms(self, text: Column) -> Column:
         return super().tokens(text)
@@ -66,7 +72,19 @@ class DictionaryAnalyzer(SimpleAnalyzer):
         raise TypeError("a joined table gives no lemmas as a column: use lemmas.LemmaAnalyzer")
 
     def unify(self, words: DataFrame) -> DataFrame:
-        return words.join(self.dictionary, F.col("lemma") == F.col("form"), "left").withColumn("lemma", F.coalesce("_lemma", "lemma")).drop("form", "_lemma")
+        if self._small is None:
+            self._small = self.dictionary.count() <= BROADCAST_ROWS
+        # Spark broadcasts by size, which a table of many forms passes long before it is too large: rows would be shuffled to it and back
+        table = F.broadcast(self.dictionary) if self._small else self.dictionary
+        return words.join(table, F.col("lemma") == F.col("form"), "left").withColumn("lemma", F.coalesce("_lemma", "lemma")).drop("form", "_lemma")
+
+    def forms_of(self, lemmas: list[str]) -> DataFrame:
+        """(form, _lemma) of all forms of a few lemmas, those that the table does not hold included. Filters reach the table before it is grouped."""
+        own = self.given.sparkSession.createDataFrame(pa.table({"form": lemmas})) if lemmas else self.given.select("form").limit(0)
+        some = self.given.where(F.col("lemma").isin(lemmas) | F.col("form").isin(lemmas)).select("form").distinct()
+        rows = self.given.select("form", "lemma").join(F.broadcast(some), "form", "left_semi").union(own.select("form", F.lit(None).cast("string")))
+        asked = rows.groupBy("form").agg(F.min("lemma").alias("_lemma"))
+        return asked.withColumn("_lemma", F.coalesce("_lemma", "form")).where(F.col("_lemma").isin(lemmas))
 
     def tokens_of(self, *texts: str) -> list[list[str]]:
         split = SimpleAnalyzer().tokens_of(*texts)

@@ -83,7 +83,7 @@ def build_terms(spark: SparkSession, speeches: str, postings: str, analyzer: Ana
     table = stored(spark, speeches, schemas.SPEECHES)
     known = stored(spark, postings, schemas.POSTINGS)
     if done:
-        table = table.join(stored(spark, done, "speech_id long"), "speech_id", "left_anti")
+        table = index.without(table, stored(spark, done, "speech_id long"))
     fresh = cut(index.missing(table.select("speech_id", "text"), known), "fresh")
     index.postings(fresh, analyzer).write.mode("append").parquet(postings)
     if done:

@@ -9,6 +9,8 @@ from tribune import queries
 from tribune.operators import index, segments
 from tribune.operators.analyzer import DictionaryAnalyzer, SimpleAnalyzer
 from tribune.sources import files
+from tribune.sources.store import ROWS, Store
+from tribune.tables import TEXTS, cut
 from tribune.operators.lemmas import LemmaAnalyzer, Lemmatiser, known_forms, learn, load_model, save_model
 
 
@@ -100,3 +102,11 @@ def test_tasks_of_postings_have_texts_of_one_size(spark, monkeypatch):
         left = index.missing(rows, found.where("speech_id < 90"))
         assert join in left._jdf.queryExecution().executedPlan().toString()
         assert sorted(r.speech_id for r in left.collect()) == list(range(90, 100))
+
+
+def test_texts_on_the_way_are_packed(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "id long, text string")
+    store = Store(spark, str(tmp_path / "store"))
+    for back in (cut(rows, "texts", TEXTS), store.read_staged(ROWS, store.stage(ROWS, rows), "id long, text string").drop("part")):
+        assert all(f.endswith(".zstd.parquet") for f in back.inputFiles())
+        assert sorted(map(tuple, back.collect())) == [(k, f"text {k}") for k in range(50)]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import ROWS, Store
-from ..tables import cut, drop_scratch
+from ..tables import TEXTS, cut, drop_scratch
 
 #: Buckets of hashes, fixed when a store is made; bits of a filter for each key, and hash functions.
 BUCKETS, BITS, HASHES = 256, 10, 5
@@ -148,7 +148,7 @@ def append(store: Store, rows: DataFrame, key: list[str], schema: str, order: li
     """
     names = [c.split()[0] for c in schema.split(", ")]
     buckets = store.notes.get("buckets", BUCKETS)
-    fresh = cut(once(rows, key, order).withColumn("short", _short("digest")).withColumn("bucket", _bucket("short", buckets)), "fresh")
+    fresh = cut(once(rows, key, order).withColumn("short", _short("digest")).withColumn("bucket", _bucket("short", buckets)), "fresh", TEXTS)
     new = fresh
     if store.parts(FILTERS):
         maybe = cut(maybe_stored(store, fresh.select("bucket", F.col("short").alias("digest"))), "maybe")

@@ -109,3 +109,14 @@ def test_only_texts_of_hits_are_read(spark, tmp_path, monkeypatch):
     (lines,) = read
     filters = [line.split("PartitionFilters: ")[1].split("PushedFilters")[0] for line in lines]
     assert filters and all("run#" in f and "bucket#" in f for f in filters), filters
+
+
+def test_state_is_committed_in_few_files(spark, tmp_path):
+    """A partition's commit writes its changes as one file, and the session's settings are as before."""
+    names = [*x._STATE_CONF, "spark.sql.streaming.checkpointFileManagerClass"]
+    before = [spark.conf.get(k, None) for k in names]
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(50)], "doc_id long, text string")
+    assert x.dedup(docs, state=str(tmp_path / "state")).where("kept").count() == 7
+    files = [f.suffix for f in (tmp_path / "state/checkpoint/state/0").glob("[0-9]*/*") if f.is_file() and not f.name.startswith(".")]
+    assert ".changelog" in files and not set(files) - {".changelog", ".crc"}
+    assert [spark.conf.get(k, None) for k in names] == before
